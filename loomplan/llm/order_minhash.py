@@ -19,7 +19,7 @@ from loomplan.llm.common import table
 #: 2**6 bins; the bin is the top of a 63-bit value: 39 bits of hash, 24 of position.
 BIN_BITS, PLACE_BITS = 6, 24
 #: Documents in a bucket of neighbouring ids on average, and the most buckets.
-BUCKET, MOST_BUCKETS = 4_096, 1 << 16
+BUCKET, MOST_BUCKETS = 512, 1 << 16
 
 
 def _words(text: Column) -> Column:
