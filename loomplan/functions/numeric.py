@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loomplan.policy import DEMAND, MATCH, DemandPolicy, MatchPolicy
 
@@ -18,6 +21,11 @@ ERFC = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0))
 
@@ -63,12 +71,14 @@ def quality_flags(order: Column, dispatch: Column, sales: Column, sell_through:
 
 def erfc(x: Column) -> Column:
     """The complementary error function, with a small relative error in the tails too."""
-    z = F.abs(x)
-    t = 1 / (1 + 0.5 * z)
-    series: Column = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        series = F.lit(c) + t * series
-    value = t * F.exp(-z * z + series)
+
+    def positive(z: Column, t: Column) -> Column:
+        series: Column = F.lit(ERFC[-1])
+        for c in reversed(ERFC[:-1]):
+            series = F.lit(c) + t * series
+        return t * F.exp(-z * z + series)
+
+    value = let(F.abs(x), lambda z: let(1 / (1 + 0.5 * z), lambda t: positive(z, t)))
     return F.when(x >= 0, value).otherwise(2 - value)
 
 
@@ -103,22 +113,30 @@ def expected_sales(quantity: Column, mu: Column, sigma: Column) -> Column:
     )
 
 
-def newsvendor_z(sigma: Column, target: Column, steps: int = 60) -> Column:
+def _tail(z: np.ndarray) -> np.ndarray:
+    """The upper normal tail over an array."""
+    x = np.abs(z) / 2**0.5
+    t = 1 / (1 + 0.5 * x)
+    value = 0.5 * t * np.exp(-x * x + np.polyval(ERFC[::-1], t))
+    return np.where(z >= 0, value, 1 - value)
+
+
+@F.pandas_udf(DoubleType())
+def newsvendor_z(sigma: pd.Series, target: pd.Series) -> pd.Series:
     """z = (ln quantity - mu) / sigma at which the expected sell-through is the target.
 
     The expected sell-through at z depends on sigma and the target alone, so one
-    bisection serves a forecast and both ends of its band.
+    bisection serves a forecast and both ends of its band; it runs over a whole
+    batch at once.  Null where either is null.
     """
-    goal = clamp(target, 0.01, 0.99)
-    ratio = lambda z: F.exp(-sigma * z + sigma * sigma / 2) * normal_cdf(z - sigma) + normal_tail(z)
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = (span["low"] + span["high"]) / 2
-        above = ratio(middle) > goal
-        return F.struct(F.when(above, middle).otherwise(span["low"]).alias("low"), F.when(above, span["high"]).otherwise(middle).alias("high"))
-
-    start = F.struct(F.lit(-40.0).alias("low"), F.lit(40.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda span: (span["low"] + span["high"]) / 2)
+    s, goal = sigma.to_numpy(dtype=np.float64, na_value=np.nan), np.clip(target.to_numpy(dtype=np.float64, na_value=np.nan), 0.01, 0.99)
+    low, high = np.full(len(s), -40.0), np.full(len(s), 40.0)
+    for _ in range(60):
+        z = (low + high) / 2
+        above = np.exp(-s * z + s * s / 2) * (1 - _tail(z - s)) + _tail(z) > goal
+        low, high = np.where(above, z, low), np.where(above, high, z)
+    out = pd.Series((low + high) / 2)
+    return out.where(~(np.isnan(s) | np.isnan(goal)), None)
 
 
 def newsvendor_order(mu: Column, sigma: Column, target: Column) -> Column:
@@ -194,33 +212,46 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:
     # sRGB primaries and the D65 white.
     rows, white = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041)), (0.95047, 1.0, 1.08883)
     xyz = [sum((c * w for c, w in zip(linear, row)), F.lit(0.0)) / top for row, top in zip(rows, white)]
-    fx, fy, fz = (F.when(v > 216 / 24389, F.cbrt(v)).otherwise((v * (24389 / 27) + 16) / 116) for v in xyz)
+    fx, fy, fz = (let(c, lambda v: F.when(v > 216 / 24389, F.cbrt(v)).otherwise((v * (24389 / 27) + 16) / 116)) for c in xyz)
     return [116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)]
 
 
+def _seventh(c: Column) -> Column:
+    return let(F.pow(c, F.lit(7.0)), lambda p: F.sqrt(p / (p + F.lit(25.0**7))))
+
+
+def _hue(y: Column, x: Column) -> Column:
+    return let(F.degrees(F.atan2(y, x)), lambda h: F.when(h < 0, h + 360).otherwise(h))
+
+
 def ciede2000(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """The CIEDE2000 difference of two Lab colours."""
     (l1, a1, b1), (l2, a2, b2) = left, right
-    seventh = F.lit(25.0**7)
-    c_mean = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
-    g = 0.5 * (1 - F.sqrt(F.pow(c_mean, F.lit(7.0)) / (F.pow(c_mean, F.lit(7.0)) + seventh)))
-    a1p, a2p = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.hypot(a1p, b1), F.hypot(a2p, b2)
-    hue = lambda y, x: F.degrees(F.atan2(y, x)) + F.when(F.atan2(y, x) < 0, F.lit(360.0)).otherwise(F.lit(0.0))
-    h1, h2 = hue(b1, a1p), hue(b2, a2p)
-    grey = c1 * c2 == 0
-    turn = h2 - h1
-    turn = F.when(grey, F.lit(0.0)).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    d_light, d_chroma = l2 - l1, c2 - c1
-    d_hue = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(turn / 2))
-    light, chroma = (l1 + l2) / 2, (c1 + c2) / 2
-    total = h1 + h2
-    mean_hue = F.when(grey, total).when(F.abs(h1 - h2) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
-    cos = lambda x: F.cos(F.radians(x))
-    t = 1 - 0.17 * cos(mean_hue - 30) + 0.24 * cos(2 * mean_hue) + 0.32 * cos(3 * mean_hue + 6) - 0.20 * cos(4 * mean_hue - 63)
-    off = (light - 50) * (light - 50)
-    s_light, s_chroma, s_hue = 1 + 0.015 * off / F.sqrt(20 + off), 1 + 0.045 * chroma, 1 + 0.015 * chroma * t
-    bend = 30 * F.exp(-F.pow((mean_hue - 275) / 25, F.lit(2.0)))
-    twist = -2 * F.sqrt(F.pow(chroma, F.lit(7.0)) / (F.pow(chroma, F.lit(7.0)) + seventh)) * F.sin(F.radians(2 * bend))
-    x, y, z = d_light / s_light, d_chroma / s_chroma, d_hue / s_hue
-    return F.sqrt(F.greatest(x * x + y * y + z * z + twist * y * z, F.lit(0.0)))
+    stretch = 1.5 - 0.5 * _seventh((F.hypot(a1, b1) + F.hypot(a2, b2)) / 2)
+    polar = let(stretch, lambda g: F.struct(F.hypot(a1 * g, b1).alias("c1"), F.hypot(a2 * g, b2).alias("c2"), _hue(b1, a1 * g).alias("h1"), _hue(b2, a2 * g).alias("h2")))
+
+    def turn(p: Column) -> Column:
+        d = p["h2"] - p["h1"]
+        return F.when(p["c1"] * p["c2"] == 0, F.lit(0.0)).when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
+
+    def mean_hue(p: Column) -> Column:
+        total = p["h1"] + p["h2"]
+        near = F.abs(p["h1"] - p["h2"]) <= 180
+        return F.when(p["c1"] * p["c2"] == 0, total).when(near, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+
+    def terms(p: Column, hue: Column) -> Column:
+        light, chroma = (l1 + l2) / 2, (p["c1"] + p["c2"]) / 2
+        cos = lambda x: F.cos(F.radians(x))
+        t = 1 - 0.17 * cos(hue - 30) + 0.24 * cos(2 * hue) + 0.32 * cos(3 * hue + 6) - 0.20 * cos(4 * hue - 63)
+        off = (light - 50) * (light - 50)
+        bend = 30 * F.exp(-F.pow((hue - 275) / 25, F.lit(2.0)))
+        return F.struct(
+            ((l2 - l1) / (1 + 0.015 * off / F.sqrt(20 + off))).alias("x"),
+            ((p["c2"] - p["c1"]) / (1 + 0.045 * chroma)).alias("y"),
+            (2 * F.sqrt(p["c1"] * p["c2"]) * F.sin(F.radians(turn(p) / 2)) / (1 + 0.015 * chroma * t)).alias("z"),
+            (-2 * _seventh(chroma) * F.sin(F.radians(2 * bend))).alias("w"))
+
+    def length(v: Column) -> Column:
+        return F.sqrt(F.greatest(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"] + v["w"] * v["y"] * v["z"], F.lit(0.0)))
+
+    return let(polar, lambda p: let(mean_hue(p), lambda hue: let(terms(p, hue), length)))

@@ -145,8 +145,12 @@ def pooled_demand(upcoming: DataFrame, accepted: DataFrame, history: DataFrame,
 
 
 def fit_demand(history: DataFrame, policy: DemandPolicy = DEMAND) -> dict[str, DataFrame]:
-    """All fitted tables: rated history, raw and shrunk priors, tau, horizon, ceilings, corrected history."""
-    rated = with_rates(history, policy)
-    raw = rate_priors(rated, policy)
+    """All fitted tables: rated history, raw and shrunk priors, tau, horizon, ceilings, corrected history.
+
+    The rated history and the raw priors are read by several of them, so they are
+    kept; ``unpersist`` them when done, or let the session drop them.
+    """
+    rated = with_rates(history.persist(), policy).persist()
+    raw = rate_priors(rated, policy).persist()
     priors = shrunk_priors(raw, policy)
-    return {"rated": rated, "raw": raw, "priors": priors, "tau": shrinkage_tau(raw, policy), "horizon": horizon_weeks(history, policy), "ceilings": buy_ceilings(history, policy), "history": corrected_rates(rated, priors)}
+    return {"rated": rated, "raw": raw, "priors": priors, "tau": shrinkage_tau(raw, policy), "horizon": horizon_weeks(history, policy), "ceilings": buy_ceilings(history, policy), "history": corrected_rates(rated, priors).persist()}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from loomplan.functions.numeric import hybrid_score, similarity
@@ -45,19 +46,19 @@ def cohort_topk(left: DataFrame, right: DataFrame, k: int, *, policy: MatchPolic
     """
     key = cohort_key(policy)
     sizes = right.withColumn("cohort", key).where("cohort is not null").groupBy("cohort").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    candidates = _blocked(right, key, sizes, "block").select("cohort", "block", F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), "vector")
+    candidates = _blocked(right, key, sizes, "block").select("cohort", "block", F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), F.col("vector").alias("right_vector"))
     queries = left.withColumn("cohort", key).where("cohort is not null").join(sizes, "cohort")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cohort", "block", F.col("id").alias("left_id"), "vector")
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cohort", "block", F.col("id").alias("left_id"), F.col("vector").alias("left_vector"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"left_id": [], "right_id": [], "right_ordinal": [], "distance": []}
         if len(a) and len(b):
             b = b.sort_values("right_ordinal", kind="stable")
-            y = np.stack(b["vector"].to_numpy()).astype(np.float64)
+            y = np.stack(b["right_vector"].to_numpy()).astype(np.float64)
             ids, ordinals = b["right_id"].to_numpy(), b["right_ordinal"].to_numpy()
             for at in range(0, len(a), 1024):
                 part = a.iloc[at : at + 1024]
-                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                x = np.stack(part["left_vector"].to_numpy()).astype(np.float64)
                 d = 1 - x @ y.T
                 order = np.argsort(d, axis=1, kind="stable")[:, :k]
                 for row, (left_id, picked) in enumerate(zip(part["left_id"], order)):
@@ -93,7 +94,7 @@ def _delta_e(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(x * x + y * y + z * z + twist * y * z, 0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def palette_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """Distance of two palettes of (L, a, b, weight) entries: the nearest colours, weighted both ways, and the dominant ones.
 
