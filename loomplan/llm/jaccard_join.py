@@ -33,6 +33,8 @@ RUNS, DEPTH, COORDS = 8, 4, 64
 SMALL = 64
 #: Sets in a block of a large bucket; blocks meet two at a time.
 BLOCK = 256
+#: Bucket members in a bundle on average: what one call of a task looks at.
+BUNDLE = 4_096
 #: Pairs under this estimate are not verified: five standard deviations under the threshold.
 LIKELY = 0.55
 XORS, FACTORS = scramble(np.arange(COORDS), 21), scramble(np.arange(COORDS), 22) | U64(1)
@@ -49,6 +51,16 @@ def sets_of(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             at += n
 
 
+def signature(codes: np.ndarray) -> np.ndarray:
+    """The upper halves of the least hash values, one for each coordinate; zeros for an empty set."""
+    if not len(codes):
+        return np.zeros(COORDS, dtype=np.uint32)
+    low = np.full(COORDS, 2**64 - 1, dtype=U64)
+    for at in range(0, len(codes), 4096):
+        np.minimum(low, ((codes[None, at : at + 4096] ^ XORS[:, None]) * FACTORS[:, None]).min(axis=1), out=low)
+    return (low >> U64(32)).astype(np.uint32)
+
+
 def signatures(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """doc_id, set_key (128 bits of the shingle set), n_shingles and the MinHash signature."""
 
@@ -58,11 +70,7 @@ def signatures(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
             for s in sets_of([lowered(t.as_py()) for t in batch.column(1)], width):
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
-                low = np.zeros(COORDS, dtype=np.uint32)
-                if len(s):
-                    for j in range(COORDS):
-                        low[j] = ((s ^ XORS[j]) * FACTORS[j]).min() >> U64(32)
-                sigs.append(low.tobytes())
+                sigs.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "set_key", "n_shingles", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, n_shingles int, sig binary")
@@ -82,7 +90,8 @@ def leaves(reps: DataFrame) -> DataFrame:
     out = None
     for level in range(DEPTH):
         keyed = rows.withColumn("leaf", F.get("path", F.lit(level)))
-        counts = keyed.groupBy("run", "leaf").agg(F.count("*").alias("n")).where("n > 1")
+        # Written, so that the join meets plain rows on both sides and a large bucket can be split.
+        counts = cut(keyed.groupBy("run", "leaf").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
         keyed = cut(keyed.join(counts, ["run", "leaf"]), f"split-{level}")
         ended = keyed if level == DEPTH - 1 else keyed.where(F.col("n") <= SMALL)
         ended = ended.select("rep", "run", "leaf", "n")
@@ -100,33 +109,48 @@ def _blocks(members: DataFrame) -> DataFrame:
     return both.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("other")
 
 
-def _first_shared(vectors: np.ndarray, run: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether no earlier run has the pair in one bucket."""
-    a, b = vectors[i, :run], vectors[j, :run]
-    return ~((a == b) & (a != 0)).any(axis=1) if run else np.ones(len(i), dtype=bool)
+def _first_shared(vectors: np.ndarray, runs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether no run before the pair's own has the pair in one bucket."""
+    a, b = vectors[i], vectors[j]
+    same = (a == b) & (a != 0)
+    return same.argmax(axis=1) == runs[i]
+
 
+def _sorted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of one group of pairs next to each other, and the number of each row's group."""
+    pdf = pdf.sort_values(["run", "leaf", "left", "right", "rep"], kind="stable", ignore_index=True)
+    key = pdf[["run", "leaf", "left", "right"]].to_numpy()
+    return pdf, np.cumsum(np.append(0, (key[1:] != key[:-1]).any(axis=1)))
 
-def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that this group is to look at: across the two blocks, or within the one."""
-    block, left, right = pdf["block"].to_numpy(), int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-    if left == right:
-        return np.triu_indices(len(pdf), 1)
-    i, j = np.meshgrid(np.flatnonzero(block == left), np.flatnonzero(block == right), indexing="ij")
-    return i.ravel(), j.ravel()
+
+def _pairs(pdf: pd.DataFrame, group: np.ndarray, most: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Portions of the pairs that the groups are to look at: across two blocks, or within one."""
+    block, across = pdf["block"].to_numpy(), (pdf["left"] != pdf["right"]).to_numpy()
+    n, ii, jj, held = len(group), [], [], 0
+    for d in range(1, int(np.bincount(group).max())):
+        i = np.flatnonzero(group[:-d] == group[d:])
+        i = i[~across[i] | (block[i] != block[i + d])]
+        ii.append(i)
+        jj.append(i + d)
+        held += len(i)
+        if held > most:
+            yield np.concatenate(ii), np.concatenate(jj)
+            ii, jj, held = [], [], 0
+    if held and n:
+        yield np.concatenate(ii), np.concatenate(jj)
 
 
 def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
     """Members with a partner that the signatures call likely and no earlier run holds."""
-    vectors = np.stack(pdf["vector"].to_numpy())
-    sig = np.stack([np.frombuffer(x, dtype=np.uint32) for x in pdf["sig"]])
-    i, j = _pairs(pdf)
+    pdf, group = _sorted(pdf)
+    vectors, runs = np.stack(pdf["vector"].to_numpy()), pdf["run"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), COORDS)
     hit = np.zeros(len(pdf), dtype=bool)
-    for at in range(0, len(i), 16_384):
-        a, b = i[at : at + 16_384], j[at : at + 16_384]
-        near = (sig[a] == sig[b]).sum(axis=1) >= LIKELY * COORDS
-        a, b = a[near], b[near]
-        new = _first_shared(vectors, int(pdf["run"].iloc[0]), a, b)
-        hit[a[new]] = hit[b[new]] = True
+    for i, j in _pairs(pdf, group):
+        near = (sig[i] == sig[j]).sum(axis=1) >= LIKELY * COORDS
+        i, j = i[near], j[near]
+        new = _first_shared(vectors, runs, i, j)
+        hit[i[new]] = hit[j[new]] = True
     return pdf.loc[hit, ["rep", "run", "leaf", "n", "copies", "block", "left", "right", "vector"]]
 
 
@@ -152,28 +176,40 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        pdf, group = _sorted(pdf)
+        rep, copies, runs = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["run"].to_numpy()
         sets = [np.frombuffer(x, dtype=U64) for x in pdf["codes"]]
         size = np.array([len(s) for s in sets], dtype=np.float64)
         vectors = np.stack(pdf["vector"].to_numpy())
-        i, j = _pairs(pdf)
-        shared = _shared_counts(sets)[i, j]
-        near = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
-        i, j = i[near], j[near]
-        new = _first_shared(vectors, int(pdf["run"].iloc[0]), i, j)
-        i, j = i[new], j[new]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
         links = np.zeros(len(rep), dtype=np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        # The least rep that links reach within the group.
         root = rep.copy()
-        while len(i):
-            low = np.minimum(root[i], root[j])
-            before = root.copy()
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            if (before == root).all():
-                break
+        for i, j in _pairs(pdf, group):
+            shared = np.zeros(len(i))
+            of = group[i]
+            order = np.argsort(of, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(at) == 1:
+                    a, b = sets[i[at[0]]], sets[j[at[0]]]
+                    shared[at] = len(a) + len(b) - len(np.union1d(a, b))
+                else:
+                    first = starts[of[at[0]]]
+                    last = max(int(j[at].max()), int(i[at].max())) + 1
+                    shared[at] = _shared_counts(sets[first:last])[i[at] - first, j[at] - first]
+            near = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
+            i, j = i[near], j[near]
+            new = _first_shared(vectors, runs, i, j)
+            i, j = i[new], j[new]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            # The least rep that links reach within a group.
+            while len(i):
+                low = np.minimum(root[i], root[j])
+                before = root.copy()
+                np.minimum.at(root, i, low)
+                np.minimum.at(root, j, low)
+                if (before == root).all():
+                    break
         return pd.DataFrame({"rep": rep, "links": links, "root": root})[links > 0]
 
     return run
@@ -224,13 +260,15 @@ def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
     vector = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
     vectors = members.groupBy("rep").agg(vector.alias("by_run")).select("rep", F.array(*[F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0).cast("long")) for r in range(RUNS)]).alias("vector"))
     known = alive.select("rep", "copies", "sig").join(vectors, "rep")
-    group = ["run", "leaf", "left", "right"]
+    # Many small groups of pairs share a task's call; a group lies whole in one bundle.
+    bundles = max(1, -(-members.count() // BUNDLE))
+    group = F.pmod(F.xxhash64("run", "leaf", "left", "right"), F.lit(bundles)).alias("bundle")
     narrow = "rep long, run int, leaf long, n long, copies long, block int, left int, right int, vector array<long>"
-    likely = cut(_blocks(members.join(known, "rep")).groupBy(*group).applyInPandas(_likely, narrow), "likely")
+    likely = cut(_blocks(members.join(known, "rep")).groupBy(group).applyInPandas(_likely, narrow), "likely")
 
     wanted = likely.select("rep").distinct()
-    sets = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_codes(width), "rep long, codes binary")
-    found = likely.join(sets.dropDuplicates(["rep"]), "rep").groupBy(*group).applyInPandas(_verified(threshold), "rep long, links long, root long")
+    sets = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_codes(width), "rep long, codes binary")
+    found = likely.join(sets.dropDuplicates(["rep"]), "rep").groupBy(group).applyInPandas(_verified(threshold), "rep long, links long, root long")
     found = cut(found, "links")
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
