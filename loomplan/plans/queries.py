@@ -367,7 +367,7 @@ def visual_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "part").select("p_partkey", *[F.when(F.pmod("p_partkey", F.lit(m)) != 0, F.round(F.pmod(F.col("p_partkey") * k, F.lit(997)) / 997, 4)).alias(c) for c, m, k in (("f", 11, 3), ("d", 5, 7), ("c", 4, 11), ("t", 3, 13))])
+    v = table(spark, sf_dir, "part").select("p_partkey", *[F.when(F.pmod("p_partkey", F.lit(m)) != 0, F.pmod(F.col("p_partkey") * k, F.lit(997)) / 997).alias(c) for c, m, k in (("f", 11, 3), ("d", 5, 7), ("c", 4, 11), ("t", 3, 13))])
     return v.select("p_partkey", num.two_stage_score(F.col("f"), F.col("d"), MATCH.detail_weight).alias("two_stage"), num.hybrid_score(*map(F.col, "fdct")).alias("hybrid"))
 
 
