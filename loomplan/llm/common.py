@@ -98,7 +98,7 @@ def shingle_codes(codes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np
     with np.errstate(over="ignore"):
         for i in range(width):
             part = np.zeros(n, dtype=U64)
-            part[: n - i] = codes[i:]
+            part[: max(0, n - i)] = codes[i:]
             out = (out ^ part) * U64(0x9FB21C651E98DF25)
             out ^= out >> U64(29)
         for i in np.flatnonzero((counts > 0) & (counts < width)).tolist():
