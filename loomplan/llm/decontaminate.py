@@ -67,7 +67,7 @@ class Index:
             k = len(self.items)
             self.items.append((item_id, exact_shingles(text, width)))
             n = int(counts[0])
-            shingles, _ = shingle_codes(codes, counts, width)
+            shingles, _ = shingle_codes(codes, counts, min(n, width))
             if n < width:
                 self.short.setdefault(n, {}).setdefault(int(shingles[0]), []).append(k)
                 continue
