@@ -66,7 +66,8 @@ def cohort_topk(left: DataFrame, right: DataFrame, k: int, *, policy: MatchPolic
                     out["right_id"] += ids[picked].tolist()
                     out["right_ordinal"] += ordinals[picked].tolist()
                     out["distance"] += np.clip(d[row, picked], 0, 2).tolist()
-        return pd.DataFrame(out)
+        kinds = {"left_id": object, "right_id": object, "right_ordinal": "int64", "distance": "float64"}
+        return pd.DataFrame({c: pd.Series(v, dtype=kinds[c]) for c, v in out.items()})
 
     kind = left.schema["id"].dataType.simpleString()
     partial = queries.groupBy("cohort", "block").cogroup(candidates.groupBy("cohort", "block")).applyInPandas(best, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, right_ordinal long, distance double")
