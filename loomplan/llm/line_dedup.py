@@ -155,6 +155,8 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
     twice = repeated_filter(docs, min_chars=min_chars, bits=bits)
     suspects = cut(suspected_lines(docs, twice, min_chars=min_chars), "suspects")
     counted = suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
+    # Written, so that the join meets plain rows on both sides and the rows of a hot line can be split.
+    counted = cut(counted, "repeated-lines")
     lost = suspects.join(counted, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     lists = cut(lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost")), "lost-lines")
 
