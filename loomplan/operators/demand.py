@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomplan.functions.numeric import P10_Z, clamp, cleaned_sales, is_censored, lognormal_conditional_mean, weeks_on_floor
 from loomplan.policy import DEMAND, DemandPolicy
+from loomplan.sources.stage import settle
 
 UNNAMED = "UNSPECIFIED"
 
@@ -25,9 +26,9 @@ def horizon_weeks(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFram
     return told.agg(F.coalesce(F.expr("percentile_disc(0.5) within group (order by w desc)"), F.lit(policy.fallback_horizon_weeks)).alias("horizon_weeks"))
 
 
-def with_rates(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
+def with_rates(history: DataFrame, policy: DemandPolicy = DEMAND, horizon: Column | None = None) -> DataFrame:
     """Adds cleaned_sales, weeks, rate (a week) and censored."""
-    horizon = horizon_weeks(history, policy).scalar()
+    horizon = horizon_weeks(history, policy).scalar() if horizon is None else horizon
     sold = cleaned_sales(F.col("order_qty"), F.col("dispatch_qty"), F.col("sales_qty"))
     weeks = weeks_on_floor(F.col("ageing_days"), F.col("sell_through"), F.col("weekly_sell_through"), horizon)
     return (
@@ -145,12 +146,16 @@ def pooled_demand(upcoming: DataFrame, accepted: DataFrame, history: DataFrame,
 
 
 def fit_demand(history: DataFrame, policy: DemandPolicy = DEMAND) -> dict[str, DataFrame]:
-    """All fitted tables: rated history, raw and shrunk priors, tau, horizon, ceilings, corrected history.
+    """All fitted tables: horizon, rated history, raw and shrunk priors, tau, ceilings, corrected history.
 
-    The rated history and the raw priors are read by several of them, so they are
-    kept; ``unpersist`` them when done, or let the session drop them.
+    Each is written once, as several others and the forecast read it.
     """
-    rated = with_rates(history.persist(), policy).persist()
-    raw = rate_priors(rated, policy).persist()
-    priors = shrunk_priors(raw, policy)
-    return {"rated": rated, "raw": raw, "priors": priors, "tau": shrinkage_tau(raw, policy), "horizon": horizon_weeks(history, policy), "ceilings": buy_ceilings(history, policy), "history": corrected_rates(rated, priors).persist()}
+    history = settle(history, "history")
+    horizon = settle(horizon_weeks(history, policy), "horizon")
+    rated = settle(with_rates(history, policy, horizon.scalar()), "rated")
+    raw = settle(rate_priors(rated, policy), "raw-priors")
+    priors = settle(shrunk_priors(raw, policy), "priors")
+    return {
+        "rated": rated, "raw": raw, "priors": priors, "tau": settle(shrinkage_tau(raw, policy), "tau"), "horizon": horizon,
+        "ceilings": settle(buy_ceilings(history, policy), "ceilings"), "history": settle(corrected_rates(rated, priors), "corrected"),
+    }

@@ -11,6 +11,7 @@ from loomplan.functions.numeric import cosine_distance, inner_product, clamp
 from loomplan.operators import similarity as sim
 from loomplan.plans import domain
 from loomplan.policy import MatchPolicy
+from loomplan.sources.stage import settle
 
 FEATURES = ["detail", "palette", "texture"]
 
@@ -49,7 +50,7 @@ class Matching:
     @lru_cache(maxsize=None)
     def gated(self, scope: str = "serving") -> DataFrame:
         left = self.left if scope == "serving" else self.right
-        return sim.gated_pairs(retrieved(left, self.right, self.policy), self.policy).persist()
+        return settle(sim.gated_pairs(retrieved(left, self.right, self.policy), self.policy), "gated")
 
     @lru_cache(maxsize=None)
     def pairs(self, scope: str = "serving") -> DataFrame:
@@ -57,7 +58,7 @@ class Matching:
 
     @lru_cache(maxsize=None)
     def calibration(self) -> DataFrame:
-        return sim.calibration(long_distances(self.pairs("historical"), "historical").unionByName(long_distances(self.pairs(), "serving")))
+        return settle(sim.calibration(long_distances(self.pairs("historical"), "historical").unionByName(long_distances(self.pairs(), "serving"))), "calibration")
 
     @lru_cache(maxsize=None)
     def scored(self) -> DataFrame:
@@ -65,4 +66,4 @@ class Matching:
 
     @lru_cache(maxsize=None)
     def ranked(self) -> DataFrame:
-        return sim.ranked(self.scored())
+        return settle(sim.ranked(self.scored()), "ranked")

@@ -15,6 +15,7 @@ from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
 from loomplan.policy import MATCH
 from loomplan.sources import publish
+from loomplan.sources.stage import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,11 +381,11 @@ def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Matching(spark, sf_dir)
-    pairs = similarity.cohort_topk(m.left, m.right, 50).select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")).persist()
+    pairs = settle(similarity.cohort_topk(m.left, m.right, 50).select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")), "pairs")
     fitted = similarity.calibration(pairs.select(F.lit("serving").alias("scope"), F.lit("fashion").alias("signal"), "distance"))
     c = fitted.select(F.struct("median", "scale")).scalar()
     scored = pairs.withColumn("_c", c).withColumn("visual_score", num.similarity(F.col("distance"), F.col("_c")["median"], F.col("_c")["scale"])).drop("_c")
-    return similarity.ranked(scored.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4)))
+    return settle(similarity.ranked(scored.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4))), "ranked")
 
 
 @query
@@ -560,7 +561,7 @@ def loo_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every historical product forecast from the others, with priors held fixed."""
     m = Matching(spark, sf_dir)
     f = _fitted(spark, sf_dir)
-    pairs = similarity.cohort_topk(m.right, m.right, 51).where("left_id <> right_id").select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")).persist()
+    pairs = settle(similarity.cohort_topk(m.right, m.right, 51).where("left_id <> right_id").select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")), "pairs")
     c = similarity.calibration(pairs.select(F.lit("h").alias("scope"), F.lit("f").alias("signal"), "distance")).select(F.struct("median", "scale")).scalar()
     scored = pairs.withColumn("_c", c).withColumn("visual_score", num.similarity(F.col("distance"), F.col("_c")["median"], F.col("_c")["scale"])).drop("_c").withColumn("hybrid_score", F.coalesce("visual_score", F.lit(0.0)))
     accepted = recommend.accepted_analogues(similarity.ranked(scored))
