@@ -215,7 +215,7 @@ def _verified(threshold: float):
     return run
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component of ``edges`` (a, b).
 
     Large-star and small-star steps by turns, each an aggregate and a join, until
@@ -223,8 +223,9 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 40) - 1))).first()
+    while True:
+        # The edges are distinct; unlike a sum of hashes, their parity can't overflow.
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen or not state[0]:
             break
         seen = state
