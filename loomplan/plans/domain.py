@@ -23,7 +23,7 @@ FABRICS = [
 ]
 CATEGORY_TEXTS = ["TAILORED", "formal", "Relaxed  Wash", "CASUAL", "denim brand", "CEREMONIAL", "OTHER"]
 #: Gate limits for these vectors, which are nearly at right angles to each other.
-GATES = MatchPolicy(candidates=10, pattern_limit=0.95, colour_limit=0.9)
+GATES = MatchPolicy(pattern_limit=0.95, colour_limit=0.9)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomplan.operators import demand, images, recommend, similarity, validate
+from loomplan.plans.matching import Matching
+from loomplan.plans.queries import QUERIES
 from loomplan.policy import MatchPolicy
 from loomplan.sources import catalogues, publish
 from loomplan.streaming.scoring import score_stream
@@ -87,6 +89,16 @@ def test_gates(spark):
     assert (audit["OTSH"]["colour_rejected"], audit["OTSH"]["pattern_rejected"], audit["OTTR"]["pattern_bypassed"], audit["UNSPECIFIED"]["without_accepted"], audit["(all)"]["queries"]) == (2, 1, 1, 1, 3)
 
 
+def test_gates_see_as_many_candidates_as_the_policy_says(spark, sf):
+    """Cohorts of the smallest tables have up to 31 products with a vector, all of them under the policy's 50."""
+    m = Matching(spark, sf)
+    cohort = similarity.cohort_key()
+    sizes = m.right.groupBy(cohort.alias("c")).agg(F.least(F.count("*"), F.lit(MatchPolicy().candidates)).alias("n"))
+    expected = m.left.select(cohort.alias("c")).join(sizes, "c").agg(F.sum("n"), F.max("n")).first()
+    got = QUERIES["gate_audit"](spark, sf).where("item_type = '(all)'").first()
+    assert expected[1] > 10 and got["retrieved"] == expected[0]
+
+
 def test_palette_distance(spark):
     red, blue, none = [50.0, 60.0, 40.0, 1.0] + [0.0] * 12, [30.0, 50.0, -90.0, 1.0] + [0.0] * 12, [0.0] * 16
     df = spark.createDataFrame([(0, red, red), (1, red, blue), (2, none, none), (3, red, none), (4, red, None)], "i int, a array<double>, b array<double>")
