@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from loomplan.functions.numeric import hybrid_score, similarity
 from loomplan.functions.text import TROUSER_TYPE, canonical_design, needs_pattern_gate, needs_trouser_gate, retrieval_key
 from loomplan.policy import MATCH, MatchPolicy
+from loomplan.sources.stage import settle
 
 #: Rows of one cohort in a block of the searched side, and of the queries.
 BLOCK = 4_096
@@ -196,6 +197,91 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("match_rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("hybrid_score"), "right_ordinal")))
 
 
+def _met_blocks(left: DataFrame, right: DataFrame, block: int):
+    """All rows of ``left`` and ``right`` (id, ordinal, vector), each block of one with each block of the other."""
+    a, b = (max(1, -(-df.count() // block)) for df in (left, right))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = left.select(F.col("id").alias("left_id"), F.col("vector").alias("left_vector"), own(a).alias("left_block")).withColumn("right_block", every(b))
+    y = right.select(F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), F.col("vector").alias("right_vector"), own(b).alias("right_block")).withColumn("left_block", every(a))
+    return x.groupBy("left_block", "right_block").cogroup(y.groupBy("left_block", "right_block"))
+
+
+def _distances(a: pd.DataFrame, b: pd.DataFrame):
+    """(first row of ``a``, distances to all of ``b`` in units of 1e-7), in portions of rows."""
+    if len(a) and len(b):
+        y = np.stack(b["right_vector"].to_numpy()).astype(np.float64)
+        for at in range(0, len(a), 512):
+            x = np.stack(a["left_vector"].iloc[at : at + 512].to_numpy()).astype(np.float64)
+            yield at, np.rint(np.clip(1 - x @ y.T, 0, 2) * 1e7).astype(np.int64)
+
+
+def all_pairs_calibration(left: DataFrame, right: DataFrame, *, block: int = BLOCK) -> tuple[int, float, float]:
+    """(n, median, scale) of the distances, to 7 places, of all rows of ``left`` to all of ``right``.
+
+    Exact, by the rule of ``calibration``.  Blocks hand on counts of their distances, of which
+    there are at most 20,000,001, so no list of pairs is made; the driver sees counts of 4,096
+    distances at a time, and single ones only where a percentile lies.
+    """
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # Portions are merged as they come, so that a task holds no more than one count a distance.
+        codes = n = np.zeros(0, dtype=np.int64)
+        for _, d in _distances(a, b):
+            new, seen = np.unique(d, return_counts=True)
+            both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            codes, n = both, np.bincount(where, weights=np.concatenate([n, seen])).astype(np.int64)
+        return pd.DataFrame({"code": codes, "n": n})
+
+    fine = settle(_met_blocks(left, right, block).applyInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "distances")
+    coarse = fine.groupBy(F.expr("code div 4096").alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    if not coarse:
+        return 0, 0.5, 0.1
+    bins, ends = np.array([r["bin"] for r in coarse]), np.cumsum([r["n"] for r in coarse])
+    total = int(ends[-1])
+    places = [q * (total - 1) for q in (0.1, 0.5, 0.9)]
+    ranks = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
+    held = np.searchsorted(ends, ranks, side="right")
+    value = {}
+    for h in sorted(set(held.tolist())):
+        rows = fine.where(F.expr("code div 4096") == int(bins[h])).orderBy("code").collect()
+        upto = np.cumsum([r["n"] for r in rows]) + (ends[h - 1] if h else 0)
+        for rank in (r for r, x in zip(ranks, held) if x == h):
+            value[rank] = rows[int(np.searchsorted(upto, rank, side="right"))]["code"] / 1e7
+    q10, median, q90 = (value[math.floor(p)] + (p - math.floor(p)) * (value[math.ceil(p)] - value[math.floor(p)]) for p in places)
+    return total, median, max((q90 - q10) / (2 * math.log(9)), 1e-4)
+
+
+def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: int, *, block: int = BLOCK) -> DataFrame:
+    """(left_id, right_id, right_ordinal, distance, visual_score, hybrid_score, match_rank): the best k of the whole history.
+
+    Every row of ``left`` is scored against every row of ``right`` (id, ordinal, vector),
+    whatever their item types, with the calibration of all those pairs.  ``products`` (id)
+    without a vector have no score and meet the first k of ``right`` in order.  A block
+    keeps its best k by rounded score, then order, so ties at the last place are right.
+    """
+    _, median, scale = all_pairs_calibration(left, right, block=block)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("right_ordinal", kind="stable")
+        ids, ordinals, left_ids = b["right_id"].to_numpy(), b["right_ordinal"].to_numpy(), a["left_id"].to_numpy()
+        out = []
+        for at, d in _distances(a, b):
+            score = np.rint(1e4 / (1 + np.exp(np.clip((d / 1e7 - median) / max(scale, 1e-6), -30, 30))))
+            picked = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            rows = np.arange(len(d))[:, None]
+            out.append(pd.DataFrame({"left_id": np.repeat(left_ids[at : at + len(d)], picked.shape[1]), "right_id": ids[picked].ravel(), "right_ordinal": ordinals[picked].ravel(), "distance": (d[rows, picked] / 1e7).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "right_ordinal": [], "distance": []})
+
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    near = _met_blocks(left, right, block).applyInPandas(best, f"left_id {kind(left)}, right_id {kind(right)}, right_ordinal long, distance double")
+    near = near.withColumn("visual_score", similarity(F.col("distance"), F.lit(median), F.lit(scale)))
+    first = right.select(F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal")).orderBy("right_ordinal").limit(k)
+    blind = products.join(left.select("id"), "id", "left_anti").select(F.col("id").alias("left_id")).join(F.broadcast(first), F.lit(True))
+    both = near.unionByName(blind.withColumns({"distance": F.lit(None).cast("double"), "visual_score": F.lit(None).cast("double")}))
+    return ranked(both.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4))).where(F.col("match_rank") <= k)
+
+
 def match_lists(ranked_: DataFrame, k: int = MATCH.published) -> DataFrame:
     """(left_id, matches): the best k as an array of structs in order."""
     entry = F.struct("match_rank", F.col("right_id").alias("historical_id"), "visual_score", "hybrid_score")

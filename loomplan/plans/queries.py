@@ -380,6 +380,7 @@ def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within the item type and its 50 nearest, as the SQL of the queries that use it has it."""
     m = Matching(spark, sf_dir)
     pairs = settle(similarity.cohort_topk(m.left, m.right, 50).select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")), "pairs")
     fitted = similarity.calibration(pairs.select(F.lit("serving").alias("scope"), F.lit("fashion").alias("signal"), "distance"))
@@ -388,6 +389,21 @@ def one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(similarity.ranked(scored.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4))), "ranked")
 
 
+def whole_one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best matches of the whole history, calibrated on all pairs, for the queries without SQL."""
+    m = Matching(spark, sf_dir)
+    # Without a vector in the history, all of it stands in, unscored.
+    left, right = settle(m.left.select("id", "ordinal", "vector"), "left"), settle(m.right.select("id", "ordinal", "vector"), "right")
+    if right.isEmpty():
+        left, right = left.limit(0), m.history.select("id", "ordinal", F.lit(None).cast("array<double>").alias("vector"))
+    return settle(similarity.whole_one_stage(left, right, m.upcoming.select("id"), MATCH.published), "ranked")
+
+
+@query
+def ranked_matches_whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_one_stage(spark, sf_dir).select("left_id", "right_id", "match_rank", _r("visual_score", 3))
+
+
 @query
 def ranked_matches_one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_stage(spark, sf_dir).where("match_rank <= 4").select("left_id", "right_id", "match_rank", _r("visual_score", 3))
@@ -448,7 +464,7 @@ def recommendation_single_analogue(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = similarity.match_lists(one_stage(spark, sf_dir))
+    lists = similarity.match_lists(whole_one_stage(spark, sf_dir))
     return domain.upcoming(spark, sf_dir).join(lists, F.col("id") == F.col("left_id"), "left").drop("left_id")
 
 
@@ -585,4 +601,5 @@ def build_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upcoming id, best analogue, confidence, expected sales, quantity and whether the ceiling held it."""
-    return _recommended(spark, sf_dir).select("id", "best_id", "match_confidence", "expected_sales", "quantity", "quantity_capped")
+    out = recommend.recommendations(domain.upcoming(spark, sf_dir), whole_one_stage(spark, sf_dir), _fitted(spark, sf_dir))
+    return out.select("id", "best_id", "match_confidence", "expected_sales", "quantity", "quantity_capped")

@@ -99,6 +99,30 @@ def test_gates_see_as_many_candidates_as_the_policy_says(spark, sf):
     assert expected[1] > 10 and got["retrieved"] == expected[0]
 
 
+def test_whole_one_stage_against_brute_force(spark):
+    """70 near of the own item type don't hide the nearest, of another; all pairs calibrate."""
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 4)))
+    h, q = unit(90), unit(3)
+    h[80] = q[0]
+    right = items(spark, [(f"H{i}", "OTSH" if i < 70 else "OTTR", "X", v) for i, v in enumerate(h)])
+    left = items(spark, [(f"Q{i}", "OTSH", "X", v) for i, v in enumerate(q)])
+    d = np.round(np.clip(1 - q @ h.T, 0, 2), 7)
+    q10, median, q90 = np.percentile(d, [10, 50, 90])
+    scale = (q90 - q10) / (2 * np.log(9))
+    score = np.round(1 / (1 + np.exp((d - median) / scale)), 4)
+    products = left.select("id").union(spark.createDataFrame([("blind",)], "id string"))
+    for block in (7, 4096):
+        assert similarity.all_pairs_calibration(left, right, block=block) == pytest.approx((270, median, scale))
+        got = {(r["left_id"], r["match_rank"]): r for r in similarity.whole_one_stage(left, right, products, 4, block=block).collect()}
+        assert len(got) == 16 and got["Q0", 1]["right_id"] == "H80"
+        for i in range(3):
+            expected = np.argsort(-score[i], kind="stable")[:4]
+            assert [got[f"Q{i}", r + 1]["right_id"] for r in range(4)] == [f"H{j}" for j in expected]
+            assert [got[f"Q{i}", r + 1]["visual_score"] for r in range(4)] == pytest.approx(score[i, expected], abs=2e-4)
+        assert [(got["blind", r]["right_id"], got["blind", r]["visual_score"]) for r in range(1, 5)] == [(f"H{j}", None) for j in range(4)]
+
+
 def test_palette_distance(spark):
     red, blue, none = [50.0, 60.0, 40.0, 1.0] + [0.0] * 12, [30.0, 50.0, -90.0, 1.0] + [0.0] * 12, [0.0] * 16
     df = spark.createDataFrame([(0, red, red), (1, red, blue), (2, none, none), (3, red, none), (4, red, None)], "i int, a array<double>, b array<double>")
