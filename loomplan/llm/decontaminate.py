@@ -4,10 +4,12 @@ Plain MinHash estimates Jaccard similarity, which is tiny between a short item
 and the long document that holds it.  So items are partitioned by size in
 doubling classes, and for a class of at most ``u`` shingles each document is read
 as windows of ``2 u`` shingles that overlap by half.  A run of shingles as long as
-the item lies whole in some window, so a contained item has a Jaccard similarity
-of about a fifth at least with that window, however long the document is.  One
-equal minimum of ``HASHES`` makes a candidate; candidates are verified by exact
-containment of the item's word shingles in the whole document.
+the item lies whole in some window, so a contained item of more than ``FEW`` shingles
+has a Jaccard similarity of about a fifth at least with that window, however long the
+document is.  One equal minimum of ``HASHES`` makes a candidate.  An item of at most
+``FEW`` shingles is a candidate wherever any of them stands, by exact look-up.
+Candidates are verified by exact containment of the item's word shingles in the whole
+document.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from loomplan.llm.common import U64, lowered, portions, scramble, shingle_codes,
 
 WIDTH, THRESHOLD = 5, 0.8
 HASHES = 32
-#: The smallest size class.
-LEAST = 16
+#: The smallest size class, and up to how many shingles an item is looked up by each of them.
+LEAST, FEW = 16, 8
 #: Items in a block: an index of one block is sent to the tasks, about 1 KB an item.
 BLOCK = 20_000
 NONE = U64(2**64 - 1)
@@ -57,7 +59,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], width: int) -> None:
         self.width = width
         self.items: list[tuple[int, set]] = []
-        #: Items of fewer words than a shingle: by their number of words, code to items.
+        #: Items of at most ``FEW`` shingles: by the number of words of a shingle, code to items.
         self.short: dict[int, dict[int, list[int]]] = {}
         minima: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
@@ -68,8 +70,10 @@ class Index:
             self.items.append((item_id, exact_shingles(text, width)))
             n = int(counts[0])
             shingles, _ = shingle_codes(codes, counts, min(n, width))
-            if n < width:
-                self.short.setdefault(n, {}).setdefault(int(shingles[0]), []).append(k)
+            if len(shingles) <= FEW:
+                own = self.short.setdefault(min(n, width), {})
+                for code in set(shingles.tolist()):
+                    own.setdefault(code, []).append(k)
                 continue
             with np.errstate(over="ignore"):
                 low = ((shingles[None, :] ^ XORS[:, None]) * FACTORS[:, None]).min(axis=1)
@@ -86,11 +90,11 @@ class Index:
                 self.classes[u].append((low[order, j], own[order], gate))
 
     def candidates(self, codes: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs with an equal minimum in some window, or a short item's only shingle."""
+        """(text, item) pairs with an equal minimum in some window, or any shingle of a short item."""
         found: set[tuple[int, int]] = set()
         shingles, sizes = shingle_codes(codes, counts, self.width)
         for n, items in self.short.items():
-            runs, run_sizes = shingle_codes(codes, np.where(counts >= n, counts, 0), n) if (counts >= n).all() else self._runs(codes, counts, n)
+            runs, run_sizes = (shingles, sizes) if n == self.width else shingle_codes(codes, np.where(counts >= n, counts, 0), n) if (counts >= n).all() else self._runs(codes, counts, n)
             where = np.flatnonzero(np.isin(runs, np.fromiter(items, dtype=U64)))
             if len(where):
                 text = np.repeat(np.arange(len(counts)), run_sizes)

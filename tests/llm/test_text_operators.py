@@ -111,6 +111,20 @@ def test_contained_items_against_brute_force(spark):
     assert decontaminate.contained_items(docs_of(spark, rows), have.limit(0)).count() == 0
 
 
+def test_short_items_are_found_in_long_documents(spark):
+    """Items of 5 to 12 words, verbatim in documents of 3,000 words: none is missed."""
+    rng = random.Random(12)
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(5 + k % 8))) for k in range(240)]
+    rows = []
+    for k, item in items:
+        t = words(rng, 3000).split()
+        at = rng.randrange(len(t))
+        rows.append((k, " ".join(t[:at] + [item] + t[at:])))
+    have = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs_of(spark, rows), have).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 # --- op 7 -----------------------------------------------------------------
 
 
