@@ -5,9 +5,10 @@ that two sets share with a probability of their similarity.  A run splits the se
 the token at a sampled coordinate, and splits what is still large by further
 ones; a bucket of at most ``SMALL`` sets, or one still larger after ``DEPTH`` splits (whose
 sets are much alike), is compared by brute force, large ones in pairs of blocks.
-``RUNS`` independent runs bring the recall to the target: at the threshold of 0.8
-a pair stays together for d splits with 0.8**d, so eight runs miss under 0.2 % of
-pairs even at three splits, and 5e-6 at one.
+``RUNS`` runs bring the recall to the target.  No two runs share a coordinate, so they
+are independent: at the threshold of 0.8 a pair stays together for d splits with
+0.8**d, and sixteen runs miss 0.02 % of such pairs at the four splits that the largest
+buckets take, 1e-5 at three and less at fewer.
 
 Equal sets are joined first, as one class of copies.  In buckets, signatures
 choose the members that have a likely partner; only their whole shingle sets are
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from loomplan.llm.common import U64, cut, lowered, portions, scramble, shingle_codes, table, word_codes
 
 WIDTH, THRESHOLD = 5, 0.8
-RUNS, DEPTH, COORDS = 8, 4, 64
+RUNS, DEPTH, COORDS = 16, 4, 64
+#: The coordinates of each run, in the order of its splits; each coordinate is in one run.
+SPLITS = np.argsort(scramble(np.arange(COORDS), 100))[: RUNS * DEPTH].reshape(RUNS, DEPTH)
 SMALL = 64
 #: Sets in a block of a large bucket; blocks meet two at a time.
 BLOCK = 256
@@ -78,11 +81,10 @@ def signatures(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
 
 def leaves(reps: DataFrame) -> DataFrame:
     """(rep, run, leaf, n): the bucket of at least two sets in which each set ends, for each run."""
-    coords = [[int(c) for c in np.argsort(scramble(np.arange(COORDS), 100 + r))[:DEPTH]] for r in range(RUNS)]
     paths = []
     for r in range(RUNS):
         steps, path = [], F.lit(r).cast("long")
-        for c in coords[r]:
+        for c in SPLITS[r].tolist():
             path = F.xxhash64(path, F.substring("sig", c * 4 + 1, 4))
             steps.append(path)
         paths.append(F.struct(F.lit(r).alias("run"), F.array(*steps).alias("path")))

@@ -158,6 +158,30 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     assert jaccard_join.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
+def test_jaccard_recall_in_a_large_bucket(spark):
+    """600 different near copies, so that buckets are split as often as they can be: links by brute force."""
+    rng = random.Random(13)
+    base = words(rng, 300).split()
+    rows = []
+    for i in range(600):
+        t = list(base)
+        for x in rng.sample(range(0, 300, 6), 3):
+            t[x] = f"edit{i}x{x}"
+        rows.append((i, " ".join(t)))
+    sets = [shingles(t) for _, t in rows]
+    at = {s: n for n, s in enumerate(sorted(set().union(*sets)))}
+    x = np.zeros((600, len(at)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        x[i, [at[s] for s in own]] = 1
+    shared, size = x @ x.T, x.sum(axis=1)
+    jaccard = shared / (size[:, None] + size[None, :] - shared)
+    expected = int((jaccard >= 0.8).sum()) - 600
+    assert jaccard.min() > 0.75 and np.median(jaccard) < 0.84
+    found = sum(r["n_links"] for r in jaccard_join.jaccard_classes(docs_of(spark, rows)).collect())
+    print("recall", found, expected)
+    assert 0 <= expected - found <= 0.001 * expected
+
+
 # --- op 1 -----------------------------------------------------------------
 
 
