@@ -83,6 +83,8 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(raw)) - np.repeat(starts - starts[0], spans)
     with np.errstate(over="ignore"):
         value = BYTE[raw] * PLACE[place & (PLACES - 1)]
+        if (far := np.flatnonzero(place >= PLACES)).size:
+            value[far] *= scramble(place[far] // PLACES, 4) | U64(1)
         return scramble(np.add.reduceat(value, starts - starts[0]), 3), counts
 
 

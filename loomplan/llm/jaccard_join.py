@@ -5,15 +5,19 @@ that two sets share with a probability of their similarity.  A run splits the se
 the token at a sampled coordinate, and splits what is still large by further
 ones; a bucket of at most ``SMALL`` sets, or one still larger after ``DEPTH`` splits (whose
 sets are much alike), is compared by brute force, large ones in pairs of blocks.
-``RUNS`` runs bring the recall to the target.  No two runs share a coordinate, so they
-are independent: at the threshold of 0.8 a pair stays together for d splits with
-0.8**d, and sixteen runs miss 0.02 % of such pairs at the four splits that the largest
-buckets take, 1e-5 at three and less at fewer.
-
-Equal sets are joined first, as one class of copies.  In buckets, signatures
-choose the members that have a likely partner; only their whole shingle sets are
-fetched, and each pair is verified exactly in its first shared bucket, so that
-links are counted once without a list of pairs.
+Runs come in rounds of ``RUNS`` and are repeated until the recall reaches the target.
+Each round estimates it on the data: from how many pairs that earlier rounds didn't hold
+one run of the round has, and how many two have, Chao's estimator gives how many no run
+has.  No two runs of the first two rounds share a coordinate, so they are independent:
+at the threshold of 0.8 a pair stays together for d splits with 0.8**d, and sixteen runs
+miss 0.02 % of such pairs at the four splits that the largest buckets take, 1e-5 at
+three and less at fewer.  Later rounds take the coordinates in another order.
+
+Equal sets are joined first, as one class of copies that has a number of its own; ids
+only name the classes at the end, so neither repeated nor null ids make or lose a link.
+In buckets, signatures choose the members that have a likely partner; only their whole
+shingle sets are fetched, and each pair is verified exactly in its first shared bucket,
+so that links are counted once without a list of pairs.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomplan.llm.common import U64, cut, lowered, portions, scramble, shingle_codes, table, word_codes
 
 WIDTH, THRESHOLD = 5, 0.8
-RUNS, DEPTH, COORDS = 16, 4, 64
-#: The coordinates of each run, in the order of its splits; each coordinate is in one run.
-SPLITS = np.argsort(scramble(np.arange(COORDS), 100))[: RUNS * DEPTH].reshape(RUNS, DEPTH)
+#: Runs of a round, splits of a run, MinHash values of a set.
+RUNS, DEPTH, COORDS = 8, 4, 64
+#: The estimated share of all links that ends the rounds.
+RECALL = 0.9995
 SMALL = 64
 #: Sets in a block of a large bucket; blocks meet two at a time.
 BLOCK = 256
@@ -43,6 +48,12 @@ LIKELY = 0.55
 XORS, FACTORS = scramble(np.arange(COORDS), 21), scramble(np.arange(COORDS), 22) | U64(1)
 
 
+def splits(run: int) -> list[int]:
+    """The coordinates of a run in the order of its splits; each is in one of COORDS / DEPTH runs."""
+    turn, at = divmod(run, COORDS // DEPTH)
+    return np.argsort(scramble(np.arange(COORDS), 100 + turn))[at * DEPTH : (at + 1) * DEPTH].tolist()
+
+
 def sets_of(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle codes of each text."""
     for a, b in portions(texts):
@@ -64,41 +75,52 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, a hash of the text: with the id it finds a row's text again."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+
+
 def signatures(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """doc_id, set_key (128 bits of the shingle set), n_shingles and the MinHash signature."""
+    """doc_id, text_key, set_key (128 bits of the shingle set), n_shingles and the MinHash signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, sigs = [], [], []
             for s in sets_of([lowered(t.as_py()) for t in batch.column(1)], width):
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(set_key(s))
                 sizes.append(len(s))
                 sigs.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "set_key", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "set_key", "n_shingles", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, n_shingles int, sig binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, set_key binary, n_shingles int, sig binary")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
+def set_key(codes: np.ndarray) -> bytes:
+    return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
+
+
+def leaves(reps: DataFrame, runs: range) -> DataFrame:
     """(rep, run, leaf, n): the bucket of at least two sets in which each set ends, for each run."""
     paths = []
-    for r in range(RUNS):
+    for r in runs:
         steps, path = [], F.lit(r).cast("long")
-        for c in SPLITS[r].tolist():
+        for c in splits(r):
             path = F.xxhash64(path, F.substring("sig", c * 4 + 1, 4))
             steps.append(path)
         paths.append(F.struct(F.lit(r).alias("run"), F.array(*steps).alias("path")))
     rows = reps.select("rep", F.explode(F.array(*paths)).alias("x")).select("rep", "x.run", "x.path")
     out = None
     for level in range(DEPTH):
-        keyed = rows.withColumn("leaf", F.get("path", F.lit(level)))
+        step = rows.withColumn("leaf", F.get("path", F.lit(level)))
         # Written, so that the join meets plain rows on both sides and a large bucket can be split.
-        counts = cut(keyed.groupBy("run", "leaf").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
-        keyed = cut(keyed.join(counts, ["run", "leaf"]), f"split-{level}")
-        ended = keyed if level == DEPTH - 1 else keyed.where(F.col("n") <= SMALL)
+        counts = cut(step.groupBy("run", "leaf").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
+        step = cut(step.join(counts, ["run", "leaf"]), f"split-{level}")
+        ended = step if level == DEPTH - 1 else step.where(F.col("n") <= SMALL)
         ended = ended.select("rep", "run", "leaf", "n")
         out = ended if out is None else out.unionByName(ended)
-        rows = keyed.where(F.col("n") > SMALL).select("rep", "run", "path")
+        rows = step.where(F.col("n") > SMALL).select("rep", "run", "path")
+        if level < DEPTH - 1 and rows.isEmpty():
+            break
     return out
 
 
@@ -111,11 +133,10 @@ def _blocks(members: DataFrame) -> DataFrame:
     return both.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("other")
 
 
-def _first_shared(vectors: np.ndarray, runs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether no run before the pair's own has the pair in one bucket."""
+def _shared_runs(vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which runs have the pair in one bucket, as rows of truth values."""
     a, b = vectors[i], vectors[j]
-    same = (a == b) & (a != 0)
-    return same.argmax(axis=1) == runs[i]
+    return (a == b) & (a != 0)
 
 
 def _sorted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -142,18 +163,34 @@ def _pairs(pdf: pd.DataFrame, group: np.ndarray, most: int = 65_536) -> Iterator
         yield np.concatenate(ii), np.concatenate(jj)
 
 
-def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members with a partner that the signatures call likely and no earlier run holds."""
-    pdf, group = _sorted(pdf)
-    vectors, runs = np.stack(pdf["vector"].to_numpy()), pdf["run"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), COORDS)
-    hit = np.zeros(len(pdf), dtype=bool)
-    for i, j in _pairs(pdf, group):
-        near = (sig[i] == sig[j]).sum(axis=1) >= LIKELY * COORDS
-        i, j = i[near], j[near]
-        new = _first_shared(vectors, runs, i, j)
-        hit[i[new]] = hit[j[new]] = True
-    return pdf.loc[hit, ["rep", "run", "leaf", "n", "copies", "block", "left", "right", "vector"]]
+def _likely(first_run: int, threshold: float):
+    """Members with a partner that the signatures call likely and no earlier run holds.
+
+    For the recall, one row of each call counts the new pairs that the signatures put at
+    the threshold or more: all, those in one run of this round, and those in two.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, group = _sorted(pdf)
+        vectors, runs = np.stack(pdf["vector"].to_numpy()), pdf["run"].to_numpy()
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), COORDS)
+        hit = np.zeros(len(pdf), dtype=bool)
+        seen = np.zeros(3, dtype=np.int64)
+        for i, j in _pairs(pdf, group):
+            alike = (sig[i] == sig[j]).sum(axis=1)
+            near = alike >= LIKELY * COORDS
+            i, j, alike = i[near], j[near], alike[near]
+            shared = _shared_runs(vectors, i, j)
+            new = shared.argmax(axis=1) == runs[i]
+            hit[i[new]] = hit[j[new]] = True
+            times = shared[new & (alike >= threshold * COORDS), first_run:].sum(axis=1)
+            seen += len(times), (times == 1).sum(), (times == 2).sum()
+        out = pdf.loc[hit, ["rep", "run", "leaf", "n", "copies", "block", "left", "right", "vector"]]
+        counts = np.zeros((len(out), 3), dtype=np.int64)
+        counts[:1] = seen
+        return out.assign(pairs=counts[:, 0], once=counts[:, 1], twice=counts[:, 2])
+
+    return run
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -200,7 +237,7 @@ def _verified(threshold: float):
                     shared[at] = _shared_counts(sets[first:last])[i[at] - first, j[at] - first]
             near = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
             i, j = i[near], j[near]
-            new = _first_shared(vectors, runs, i, j)
+            new = _shared_runs(vectors, i, j).argmax(axis=1) == runs[i]
             i, j = i[new], j[new]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -243,44 +280,83 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for every row of ``docs`` (doc_id, text).
+def unseen(once: int, twice: int, runs: int = RUNS) -> float:
+    """Chao's estimate of the pairs that no run has, from those in one run and in two."""
+    return (runs - 1) / runs * once * (once - 1) / (2 * (twice + 1))
+
+
+def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, text_key, is_first for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if their sets of ``width``-word shingles (lower-cased;
     a shorter text is one shingle) have a Jaccard similarity of ``threshold`` or
     more.  ``class_id``: the least doc_id of those that links connect; ``n_links``:
     how many other rows a row is linked to, copies included; ``n_copies``: rows
-    with an equal set, the row itself included.  Null, empty and blank texts have
-    the empty set and are copies of each other.  Repeated rows count as rows.  A
-    null doc_id is a row like others, but never names a class unless alone.  An
-    empty table gives no rows; extra columns are ignored.
+    with an equal set, the row itself included.  ``text_key``: a hash of the text;
+    ``is_first``: whether the row's (doc_id, text_key) is the least of its class, a
+    null id after all others, so one row of each class and its exact repeats have it.
+
+    Null, empty and blank texts have the empty set and are copies of each other.
+    Repeated rows count as rows, and rows of one id with different texts are rows by
+    themselves.  A null doc_id is a row like others; it names a class, as null, only
+    if no row of the class has an id.  Very long texts have long sets and are treated
+    alike.  An empty table gives no rows; extra columns are ignored, also those
+    named as the results.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = cut(signatures(docs, width=width), "signatures")
-    classes = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    classes = cut(classes, "classes")
-    alive = classes.where("n_shingles > 0 and rep is not null")
+    texts = docs.select("doc_id", "text")
+    signed = cut(signatures(texts, width=width), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key")).alias("first")
+    classes = signed.groupBy("set_key").agg(first, F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    # Numbered as they are written: from here on a set goes by its number.
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    alive = classes.where("n_shingles > 0")
+
+    members = found = None
+    pairs, start = 0, 0
+    while True:
+        runs = range(start, start + RUNS)
+        new = cut(leaves(alive.select("rep", "sig"), runs), "leaves")
+        members = new if members is None else members.unionByName(new)
+        links, seen = _links(texts, members, new, alive, runs, threshold, width)
+        found = links if found is None else found.unionByName(links)
+        pairs += seen["pairs"]
+        start += RUNS
+        if pairs >= recall * (pairs + unseen(seen["once"], seen["twice"])):
+            break
 
-    members = cut(leaves(alive.select("rep", "sig")), "leaves")
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    named = classes.select("set_key", "rep", "first", "copies").join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    named = cut(named.select("set_key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), "root"), "named")
+    # Written, as a class may have very many sets and its rows can then be split.
+    least = cut(named.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "least-of-class")
+    named = named.join(least, "root", "left").withColumn("least", F.coalesce("least", "first"))
+    of_set = cut(named.select("set_key", "least", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "sets")
+    is_first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    out = signed.select("doc_id", "text_key", "set_key").join(of_set, "set_key")
+    return out.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links", "n_copies", "text_key", is_first.alias("is_first"))
+
+
+def _links(texts: DataFrame, members: DataFrame, new: DataFrame, alive: DataFrame, runs: range, threshold: float, width: int) -> tuple[DataFrame, Row]:
+    """Links (rep, links, root) of one round that no earlier round holds, and what it has seen for the recall."""
     vector = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
-    vectors = members.groupBy("rep").agg(vector.alias("by_run")).select("rep", F.array(*[F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0).cast("long")) for r in range(RUNS)]).alias("vector"))
+    every = [F.coalesce(F.try_element_at("by_run", F.lit(r)), F.lit(0).cast("long")) for r in range(runs.stop)]
+    vectors = members.groupBy("rep").agg(vector.alias("by_run")).select("rep", F.array(*every).alias("vector"))
     known = alive.select("rep", "copies", "sig").join(vectors, "rep")
     # Many small groups of pairs share a task's call; a group lies whole in one bundle.
-    bundles = max(1, -(-members.count() // BUNDLE))
+    bundles = max(1, -(-new.count() // BUNDLE))
     group = F.pmod(F.xxhash64("run", "leaf", "left", "right"), F.lit(bundles)).alias("bundle")
-    narrow = "rep long, run int, leaf long, n long, copies long, block int, left int, right int, vector array<long>"
-    likely = cut(_blocks(members.join(known, "rep")).groupBy(group).applyInPandas(_likely, narrow), "likely")
-
-    wanted = likely.select("rep").distinct()
-    sets = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_codes(width), "rep long, codes binary")
+    narrow = "rep long, run int, leaf long, n long, copies long, block int, left int, right int, vector array<long>, pairs long, once long, twice long"
+    likely = cut(_blocks(new.join(known, "rep")).groupBy(group).applyInPandas(_likely(runs.start, threshold), narrow), "likely")
+    seen = likely.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "once", "twice")]).first()
+
+    # One text of each wanted set; the set made of it must be the wanted one.
+    wanted = likely.select("rep").distinct().join(alive.select("rep", "set_key", "first"), "rep").select("rep", "set_key", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    own = keyed(texts).join(cut(wanted, "wanted").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    sets = own.select("rep", "text", "set_key").mapInArrow(_codes(width), "rep long, codes binary")
+    likely = likely.drop("pairs", "once", "twice")
     found = likely.join(sets.dropDuplicates(["rep"]), "rep").groupBy(group).applyInPandas(_verified(threshold), "rep long, links long, root long")
-    found = cut(found, "links")
-
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.select("set_key", "rep", "copies").join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "set_key").join(named, "set_key").select("doc_id", "class_id", "n_links", "n_copies")
+    return cut(found, "links"), seen
 
 
 def _codes(width: int):
@@ -288,15 +364,16 @@ def _codes(width: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                sets = [s.tobytes() for s in sets_of([lowered(t.as_py()) for t in part.column(1)], width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "codes"])
+                sets = list(sets_of([lowered(t.as_py()) for t in part.column(1)], width))
+                right = [set_key(s) == k.as_py() for s, k in zip(sets, part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right, pa.bool_())), pa.array([s.tobytes() for s, ok in zip(sets, right) if ok], pa.binary())], names=["rep", "codes"])
 
     return run
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: near-duplicate classes and link counts of all documents."""
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 OP7_SQL = """

@@ -356,3 +356,29 @@ def test_next_row_over_many_buckets(spark):
 def test_fingerprints_run_no_python(spark, sf):
     plan = order_minhash.op10_order_minhash(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_jaccard_classes_with_repeated_and_null_ids(spark):
+    """Ids repeat with other texts or are null: links go by the text, no row is lost, one row of each class is first."""
+    rng = random.Random(14)
+    a, b = words(rng, 100), words(rng, 100)
+    near = a.replace(a.split()[-1], "another")
+    rows = [(5, a), (5, b), (7, near), (9, a), (None, near), (None, b), (None, words(rng, 50)), (9, a)]
+    got = jaccard_join.jaccard_classes(docs_of(spark, rows).withColumn("class_id", F.lit("clash"))).collect()
+    key = {r["text_key"]: None for r in got}
+    assert len(got) == 8 and len(key) == 4
+    links = Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"], r["is_first"]) for r in got)
+    # a: ids 5, 9, 9; near: 7 and null; b: 5 and null; the last is alone.
+    assert links == Counter([(5, 5, 4, 3, True), (9, 5, 4, 3, False), (9, 5, 4, 3, False), (7, 5, 4, 2, False), (None, 5, 4, 2, False), (5, 5, 1, 2, True), (None, 5, 1, 2, False), (None, None, 0, 1, True)])
+
+
+def test_links_between_texts_without_ids(spark):
+    a = words(random.Random(15), 100)
+    got = jaccard_join.jaccard_classes(docs_of(spark, [(None, a), (7, a + " more"), (3, "x")])).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in got) == [(0, 7, 1), (3, 3, 0), (7, 7, 1)]
+
+
+def test_long_words_are_told_apart():
+    x, y = "a" * 4096, "b" * 4096
+    codes, _ = word_codes([(x + y).encode(), (y + x).encode()])
+    assert codes[0] != codes[1]
