@@ -28,8 +28,8 @@ WIDTH, THRESHOLD = 5, 0.8
 HASHES = 32
 #: The smallest size class, and up to how many shingles an item is looked up by each of them.
 LEAST, FEW = 16, 8
-#: Items in a block: an index of one block is sent to the tasks, about 1 KB an item.
-BLOCK = 20_000
+#: Items, and bytes of their texts, in a block on average: an index of one block is sent to the tasks.
+BLOCK, BLOCK_BYTES = 20_000, 8_000_000
 NONE = U64(2**64 - 1)
 #: Fixed for each hash function: what is xored in, and the odd factor.
 XORS, FACTORS = scramble(np.arange(HASHES), 11), scramble(np.arange(HASHES), 12) | U64(1)
@@ -139,6 +139,19 @@ class Index:
         return runs, out
 
 
+def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, bytes]]]:
+    """(item_id, text) of the items in blocks that are bounded in rows and in bytes.
+
+    A block holds one item at least, so a single text beyond ``BLOCK_BYTES`` is a block by itself.
+    """
+    items = items.select(F.col("item_id").cast("long"), "text")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-size // BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [(r["item_id"], lowered(r["text"])) for r in items.where(part == b).orderBy("item_id", "text").toLocalIterator()]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row for each document and item of which it holds ``threshold`` of the shingles or more.
 
@@ -146,47 +159,68 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     ``width`` words of the lower-cased text; an item of fewer words counts as one
     shingle of all its words, found as such a run.  n_shared / n_item is the exact
     containment.  Null and empty texts hold nothing, and empty items are in
-    nothing.  Repeated rows give repeated hits.  Items are taken in blocks of at
-    most about ``block`` rows, each sent to the tasks; extra columns are ignored.
+    nothing.  Very long texts are read as windows and whole.  Repeated rows give
+    repeated hits, and null ids stay null.  Items are taken in blocks bounded in rows
+    and bytes, each sent to the tasks; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), "text")
-    blocks = max(1, -(-items.count() // block))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = None
-    for b in range(blocks):
-        rows = [(r["item_id"], lowered(r["text"])) for r in items.where(part == b).orderBy("item_id").toLocalIterator()]
-        hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_searcher(spark.sparkContext.broadcast(Index(rows, width)), threshold), HITS)
+    for rows in item_blocks(items, block):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(rows, width))
+        hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_searcher(sent, threshold), HITS)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def without_items(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that hold no item, by the rule of ``contained_items``.
+
+    Each row is judged by its own text, so repeated and null ids don't matter; all
+    columns pass through.
+    """
+    names, at = docs.columns, docs.columns.index("text")
+    for rows in item_blocks(items, block):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(rows, width))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, dtype=bool)
+                for i, *_ in _hits(sent.value, [lowered(t.as_py()) for t in batch.column(at)], threshold):
+                    stays[i] = False
+                yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _hits(index: Index, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item_id, shared, size of the item) of the candidates that exact containment confirms."""
+    for a, b in portions(texts):
+        codes, counts = word_codes(texts[a:b])
+        by_text: dict[int, list[int]] = defaultdict(list)
+        for i, k in sorted(index.candidates(codes, counts)):
+            by_text[a + i].append(k)
+        for i, found in by_text.items():
+            own: dict[int, set] = {}
+            for k in found:
+                item_id, shingles = index.items[k]
+                n = min(index.width, len(next(iter(shingles))))
+                if n not in own:
+                    w = texts[i].split()
+                    own[n] = {tuple(w[x : x + n]) for x in range(len(w) - n + 1)}
+                shared = len(shingles & own[n])
+                if shared >= threshold * len(shingles):
+                    yield i, item_id, shared, len(shingles)
+
+
 def _searcher(sent, threshold: float):
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
     names = [c.split()[0] for c in HITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [lowered(t.as_py()) for t in batch.column(1)]
-            rows = []
-            for a, b in portions(texts):
-                codes, counts = word_codes(texts[a:b])
-                by_text: dict[int, list[int]] = defaultdict(list)
-                for i, k in sorted(index.candidates(codes, counts)):
-                    by_text[a + i].append(k)
-                for i, found in by_text.items():
-                    own: dict[int, set] = {}
-                    for k in found:
-                        item_id, shingles = index.items[k]
-                        n = min(index.width, len(next(iter(shingles))))
-                        if n not in own:
-                            w = texts[i].split()
-                            own[n] = {tuple(w[x : x + n]) for x in range(len(w) - n + 1)}
-                        shared = len(shingles & own[n])
-                        if shared >= threshold * len(shingles):
-                            rows.append((ids[i], item_id, shared, len(shingles), shared / len(shingles)))
+            rows = [(ids[i], item_id, shared, n, shared / n) for i, item_id, shared, n in _hits(sent.value, texts, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     return run
