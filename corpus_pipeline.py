@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each on all that the last one kept."""
+"""A training corpus from ``documents``: five stages, each on all that the last one kept.
+
+Every stage judges rows, not ids: rows that share an id with other texts are rows by
+themselves, and rows without an id are treated as any other.  Null and empty texts
+are texts of no words; very long ones are read whole.  An empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomplan.llm.common import cut, table
-from loomplan.llm.decontaminate import contained_items
+from loomplan.llm.decontaminate import without_items
 from loomplan.llm.jaccard_join import jaccard_classes
 from loomplan.llm.line_dedup import line_dedup
 from loomplan.llm.packing import best_fit_packing
@@ -16,31 +21,49 @@ from loomplan.llm.quality_gam import quality_scores, train
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels, accepts."""
+    """Documents that the classifier, learned from the labels, accepts.
+
+    Null and empty texts are scored as any other.  Repeated rows score alike, so all
+    of them stay or go.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return quality_scores(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat across them; those left without text go."""
-    out = line_dedup(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("n_dropped = 0 or trim(text) <> ''").select(*docs.columns)
+    """Documents without the lines that repeat across them; those left without text by that go.
+
+    A text without such lines stays as it is, a null one null.  Rows of one id count as
+    one document; rows without an id are no document and keep no repeated line.
+    """
+    out = line_dedup(docs).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).where("n_dropped = 0 or trim(text) <> ''").select(*docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each class of near duplicates."""
-    gone = jaccard_classes(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near duplicates: that of least id, of least hash of the text among equal ids.
+
+    Documents without an id come after all others.  Of rows that are equal in id and text
+    one stays, any of them.  Null, empty and blank texts are one class.
+    """
+    classes = jaccard_classes(docs)
+    marks = classes.groupBy("doc_id", "text_key").agg(F.max("is_first").alias("stays"), F.count("*").alias("n"))
+    marks = cut(marks.where("not stays or n > 1"), "not-all-stay").withColumnRenamed("doc_id", "_id")
+    rows = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (rows["text_key"] == marks["text_key"])
+    single = rows.join(marks, same, "left_anti").select(*docs.columns)
+    once = rows.join(marks.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    return single.unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = cut(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents, packed into sequences of 2048 tokens."""
+    """The kept documents, packed into sequences of 2048 tokens; repeated rows as often as they stand there."""
     return best_fit_packing(docs)
 
 
