@@ -1,18 +1,19 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Training counts cover every word of every training text.  A unit is a word whose
-share of all training tokens is ``UNIT_SHARE`` or more (so there are at most
-1 / UNIT_SHARE), or a stratum: all other words with the same last two bytes, by
-``STRATA`` hash values.  Exchange clustering moves units between ``CLASSES`` classes
-while the likelihood of the class bigrams grows; a word outside the units is in the
-class of its stratum, also when it was never seen.
-
-    P(text) = product of P(class | class before) * P(unit | class) * P(word | unit)
-
-Transitions are smoothed towards class shares, units in a class by an added
-half, and words in a stratum by absolute discounting, which leaves the discounted
-mass to the one event "any unseen word".  All three sum to one, so with that event
-they give a distribution over the V seen tokens and one unseen, as the base has.
+Training counts cover every word of every training text.  Words whose share of all
+training tokens is ``UNIT_SHARE`` or more (so at most 1 / UNIT_SHARE) are units:
+exchange clustering moves them, and ``STRATA`` strata of the other words by their
+last two bytes, between ``CLASSES`` classes while the likelihood of the class bigrams
+grows.  Then every other word of the training vocabulary moves from its stratum's
+class to the one that fits its own neighbours best, with the strata's units as a
+prior.  Only a word that training never saw takes the class of its stratum.
+
+    P(text) = product of P(class | class before) * P(word | class)
+
+Transitions are counted anew from all training texts in the final classes and smoothed
+towards class shares.  Words in a class have absolute discounting, which leaves the
+discounted mass to the class's one event "any unseen word".  Both sum to one, so with
+those events they give a distribution over the V seen tokens and the unseen.
 """
 
 from __future__ import annotations
@@ -25,16 +26,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from loomplan.llm.common import cut, held_out, lowered, portions, table
 
 CLASSES, STRATA, ITERATIONS = 64, 256, 5
 #: Shares of all training tokens from which a word is a unit, and from which tasks know its count.
 UNIT_SHARE, KNOWN_SHARE = 5e-5, 2e-6
-#: Weight of the class shares in a transition.
-PRIOR = 20.0
+#: Weight of the class shares in a transition, and of a stratum in the class of its words, in words.
+PRIOR, STRATUM_WEIGHT = 20.0, 2.0
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 END = b"\n"  # no word has white space
@@ -243,106 +245,314 @@ def exchange_clustering(pairs: DataFrame, n_units: int, *, k: int = CLASSES, ite
     return best[1], best[2]
 
 
-def fit_and_score(docs: DataFrame, train: DataFrame, *, classes: int = CLASSES, iterations: int = ITERATIONS, unit_share: float = UNIT_SHARE, known_share: float = KNOWN_SHARE) -> DataFrame:
-    """Learn from ``train`` (text) and score ``docs`` (doc_id, text).
+def word_code(word: bytes) -> int:
+    """64 bits that stand for a word where its contexts are gathered."""
+    x = xxh3_64_intdigest(word)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def contexts(texts: DataFrame, units: Units, class_of: np.ndarray, k: int) -> DataFrame:
+    """(code, context, n): the classes before and after each word that is no unit, as before * k + after."""
+    sent = texts.sparkSession.sparkContext.broadcast((units.ids, units.unit, units.n_units, class_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, unit, n_units, classes = sent.value
+        look, first_stratum = Lookup(ids_of), n_units - STRATA
+        codes_of = np.fromiter(map(word_code, ids_of), dtype=np.int64, count=len(ids_of))
+        held: list[np.ndarray] = []
+
+        def batch_of(codes: np.ndarray, around: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(around.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "context", "n"])
+
+        def known() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return batch_of(codes_of[keys // (k * k)], keys % (k * k), n)
+
+        for batch in batches:
+            raw = [lowered(t.as_py()) for t in batch.column(0)]
+            for a, b in portions(raw, 4_000_000):
+                words, ids, size, row = _unit_rows(raw[a:b], look, unit, n_units)
+                c = classes[row]
+                place = np.arange(len(words)) + np.repeat(np.arange(b - a), size)
+                around = np.append(0, c)[place] * k + c[place + 1]  # each text starts after an end
+                tail = row[place] >= first_stratum
+                here = np.flatnonzero(tail & (ids >= 0))
+                held.append(ids[here] * (k * k) + around[here])
+                rare = np.flatnonzero(tail & (ids < 0))
+                if len(rare):
+                    codes = np.fromiter((word_code(words[i]) for i in rare.tolist()), dtype=np.int64, count=len(rare))
+                    yield batch_of(codes, around[rare], np.ones(len(rare)))
+                if sum(map(len, held)) > 4_000_000:
+                    yield known()
+        if held:
+            yield known()
+
+    return texts.select("text").mapInArrow(run, "code long, context int, n long")
+
+
+def tail_classes(found: DataFrame, step: np.ndarray, column: np.ndarray, prior: np.ndarray) -> DataFrame:
+    """(code, class): for each word the class that its contexts and the prior of its stratum make likeliest.
+
+    ``found``: code, context, n and stratum, one shuffle by code.  A word's contexts are
+    summed over a window of rows of its code, so a task never holds more than one batch
+    and the word at its end.
+    """
+    k = len(column)
+    sent = found.sparkSession.sparkContext.broadcast((step, np.log10(np.maximum(column, 1.0)), prior))
+    rows = found.repartition("code").sortWithinPartitions("code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_step, log_size, log_prior = sent.value
+        open_code, open_counts, open_stratum = None, np.zeros(2 * k), 0
+
+        def best(codes: np.ndarray, counts: np.ndarray, strata: np.ndarray) -> pa.RecordBatch:
+            left, right = counts[:, :k], counts[:, k:]
+            value = left @ own_step + right @ own_step.T - left.sum(axis=1)[:, None] * log_size + log_prior[strata]
+            value[:, 0] = -np.inf  # the end's own class
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(value.argmax(axis=1).astype(np.int32))], names=["code", "class"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                code, around, n, strata = (x.to_numpy() for x in batch.slice(at, 4096).columns)
+                first = np.flatnonzero(np.diff(code, prepend=code[0] - 1 if code[0] > -(2**63) else code[0] + 1))
+                place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+                cells = np.concatenate([place * 2 * k + around // k, place * 2 * k + k + around % k])
+                counts = np.bincount(cells, weights=np.concatenate([n, n]), minlength=len(first) * 2 * k).reshape(len(first), 2 * k)
+                codes, own = code[first], strata[first]
+                if open_code is not None:
+                    if codes[0] == open_code:
+                        counts[0] += open_counts
+                    else:
+                        codes, own, counts = np.append(open_code, codes), np.append(open_stratum, own), np.vstack([open_counts[None], counts])
+                open_code, open_counts, open_stratum = codes[-1], counts[-1], own[-1]
+                if len(codes) > 1:
+                    yield best(codes[:-1], counts[:-1], own[:-1])
+        if open_code is not None:
+            yield best(np.array([open_code]), open_counts[None], np.array([open_stratum]))
+
+    return rows.mapInArrow(run, "code long, class int")
+
+
+def transitions(classed: DataFrame, k: int) -> np.ndarray:
+    """The k by k matrix of class bigram counts of the texts that are learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            c = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype=np.uint8).astype(np.int64)
+            if len(c):
+                m += np.bincount(np.append(0, c[:-1]) * k + c, minlength=k * k)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["cell", "n"])
+
+    out = np.zeros(k * k)
+    for r in classed.where("learns").select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
+@dataclass
+class Vocabulary:
+    """What tasks know of words: those of ``Units`` with their classes, and the rest by class."""
+
+    units: Units
+    classes: np.ndarray
+    stratum_class: np.ndarray
+    #: log10 of a class's tokens, and of its unseen event's share.
+    log_size: np.ndarray
+    unseen: np.ndarray
+    discount: float
+
+
+def classed_texts(rows: DataFrame, v: Vocabulary, rest: DataFrame, total: int, distinct: int, ends: int) -> DataFrame:
+    """doc_id, learns, asked, n_tokens, n_known, base, emission and classes (a byte for each token) of every row.
+
+    ``rows``: doc_id, text, learns, asked; ``rest``: word, n, class of the words that tasks
+    don't know.  Only tokens of those are shuffled, each with its text's number and its
+    place, and come back to their text with what the join gave.
+    """
+    space = float(total + distinct + 1)
+    unit = v.units
+    inner = np.log10(np.maximum(unit.counts - v.discount, 1e-9)) - v.log_size[v.classes] if len(unit.counts) else np.zeros(0)
+    base = np.log10((unit.counts + 1) / space)
+    sent = rows.sparkSession.sparkContext.broadcast((unit.ids, v.classes, inner, base))
+    base_end, known_end = float(np.log10((ends + 1) / space)), int(ends > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, classes, inner, base = sent.value
+        look = Lookup(ids_of)
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            raw = [lowered(t.as_py()) for t in batch.column(1)]
+            for a, b in portions(raw, 4_000_000):
+                tokens, ids, size, _ = _unit_rows(raw[a:b], look, classes, STRATA + 1)
+                known = ids >= 0
+                text = np.repeat(np.arange(b - a), size)
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+                at = ids[known]
+                sums = lambda x: np.bincount(text[known], weights=x, minlength=b - a)
+                own = np.where(known, classes[np.maximum(ids, 0)] if len(classes) else 0, 0).astype(np.uint8)
+                ends_ = np.cumsum(size)
+                strings = [own[e - s : e].tobytes() + b"\x00" for s, e in zip(size.tolist(), ends_.tolist())]
+                rare = np.flatnonzero(~known)
+                numbers = np.arange(row, row + b - a)
+                row += b - a
+                n, r = b - a, len(rare)
+                # A text's own row has a key that no word can be.
+                keys = [b" %d" % x for x in numbers.tolist()] + [tokens[i] for i in rare.tolist()]
+                both = lambda x, kind: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind), pa.nulls(r, kind)])
+                part = batch.slice(a, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([numbers, numbers[text[rare]]])), pa.array(keys, pa.binary()), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(place[rare].astype(np.int32))]),
+                     pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array((-1 - ids[rare]).astype(np.int32))]), both(part.column(0), pa.int64()), both(part.column(2), pa.bool_()), both(part.column(3), pa.bool_()),
+                     both(size + 1, pa.int64()), both(sums(None).astype(np.int64) + known_end, pa.int64()), both(sums(base[at]) + base_end, pa.float64()), both(sums(inner[at]), pa.float64()), both(strings, pa.binary())],
+                    names=["row", "word", "place", "stratum", "doc_id", "learns", "asked", "n_tokens", "n_known", "base", "emission", "classes"])
+
+    schema = "row long, word binary, place int, stratum int, doc_id long, learns boolean, asked boolean, n_tokens long, n_known long, base double, emission double, classes binary"
+    scored = rows.select(F.col("doc_id").cast("long"), "text", "learns", "asked").mapInArrow(run, schema)
+    of = lambda values, at: F.get(F.lit([float(x) for x in values]), at)
+    rare, seen = F.col("place").isNotNull(), F.col("c").isNotNull()
+    own = F.coalesce(F.col("class"), F.get(F.lit([int(x) for x in v.stratum_class]), F.col("stratum")))
+    emission = F.when(seen, F.log10(F.greatest(F.col("c") - F.lit(v.discount), F.lit(1e-9))) - of(v.log_size, own)).otherwise(of(v.unseen, own))
+    terms = scored.join(rest.select("word", F.col("n").alias("c"), "class"), "word", "left").select(
+        "row", "doc_id", "learns", "asked", "n_tokens", F.when(rare, seen.cast("long")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(rare, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(space))).otherwise(F.col("base")).alias("base"),
+        F.when(rare, emission).otherwise(F.col("emission")).alias("emission"), "classes",
+        # The place and the class of a token in one number.
+        F.when(rare, F.col("place").cast("long") * 256 + own).alias("token"))
+    first = [F.max(c).alias(c) for c in ("doc_id", "learns", "asked", "n_tokens", "classes")]
+    sums = [F.sum(c).alias(c) for c in ("n_known", "base", "emission")]
+    texts = terms.groupBy("row").agg(*first, *sums, F.collect_list("token").alias("tokens")).drop("row")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = [x.as_py() for x in batch.column(4)]
+            lists = batch.column(8)
+            sizes = np.array([len(x) for x in strings], dtype=np.int64)
+            whole = np.frombuffer(b"".join(strings), dtype=np.uint8).copy()
+            tokens = lists.flatten().to_numpy()
+            starts = np.repeat(np.cumsum(sizes) - sizes, lists.value_lengths().to_numpy())
+            whole[starts + tokens // 256] = tokens % 256
+            parts = [x.tobytes() for x in np.split(whole, np.cumsum(sizes)[:-1])] if len(sizes) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *batch.columns[5:8], pa.array(parts, pa.binary())], names=["doc_id", "learns", "asked", "n_tokens", "n_known", "base", "emission", "classes"])
+
+    return texts.mapInArrow(fill, "doc_id long, learns boolean, asked boolean, n_tokens long, n_known long, base double, emission double, classes binary")
+
+
+def fit_and_score(docs: DataFrame, train: DataFrame | Column, *, classes: int = CLASSES, iterations: int = ITERATIONS, unit_share: float = UNIT_SHARE, known_share: float = KNOWN_SHARE) -> DataFrame:
+    """Learn from ``train`` (a table with text, or a condition on ``docs``) and score ``docs`` (doc_id, text).
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score and
     perplexity (10 to the power of -score / n_tokens), one row for each row of
     ``docs``.  Words are cut at ASCII white space and A-Z lower-cased; a text is its
     words and one end, so null and empty texts are the end alone.  With no
     training text every token is unseen, at log10 probability 0 for base and
-    score.  Repeated rows are counted and scored as often as they stand there.
+    score.  Repeated rows are counted and scored as often as they stand there, also
+    those of one id or of none; equal texts score alike.  Very long texts are rows
+    like others: a byte a token comes together in one place.  Ties between classes
+    go to the lower number.  Extra columns are ignored, also those named as results.
 
     Tasks know the counts of words from ``known_share`` of all tokens on, at most
     1 / known_share; other words are shuffled to their counts, and none of those
     is frequent.
     """
+    if not 2 <= classes <= 256:
+        raise ValueError("classes must be 2 to 256")
     spark = docs.sparkSession
-    counts = cut(token_counts(train), "word-counts")
+    condition = train if isinstance(train, Column) else F.lit(False)
+    rows = docs.select("doc_id", "text", F.coalesce(condition, F.lit(False)).alias("learns"), F.lit(True).alias("asked"))
+    if not isinstance(train, Column):
+        rows = rows.unionByName(train.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("learns"), F.lit(False).alias("asked")))
+    texts = rows.where("learns").select("text")
+
+    counts = cut(token_counts(texts), "word-counts")
     total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     units = known_units(counts, total, unit_share, known_share)
-    pairs = cut(unit_pairs(train, units), "unit-pairs")
     k, n_units = classes, units.n_units
+    pairs = cut(unit_pairs(texts, units), "unit-pairs")
     class_of, m = exchange_clustering(pairs, n_units, k=k, iterations=iterations)
-
-    # What each stratum holds: tokens and distinct words that are not units themselves.
-    frequent = n_units - STRATA - 1
+    first_stratum = n_units - STRATA
+
+    # Every other word to the class that its own contexts make likeliest.
+    step = np.log10(smoothed(m))
+    kinds = np.full((STRATA, k), 1e-3)
+    kinds[np.arange(STRATA), class_of[first_stratum:]] += STRATUM_WEIGHT
+    for word, i in units.ids.items():
+        if units.unit[i] < first_stratum:
+            kinds[stratum(word), class_of[units.unit[i]]] += 1
+    prior = np.log10(kinds / kinds.sum(axis=1, keepdims=True))
+    tail = counts.where((F.col("n") < max(1.0, unit_share * total)) & (F.col("word") != F.lit(END)))
+    tail = cut(with_codes(tail), "tail")
+    found = contexts(texts, units, class_of, k).groupBy("code", "context").agg(F.sum("n").alias("n"))
+    found = found.join(tail.select("code", "stratum").dropDuplicates(["code"]), "code")
+    moved = tail_classes(found.select("code", "context", "n", "stratum"), step, m.sum(axis=0), prior)
+    tail = cut(tail.join(moved.dropDuplicates(["code"]), "code").select("word", "n", "stratum", "class"), "tail-classes")
+
+    # Tokens and distinct words of each class: units here, all others from their table.
+    own_class = np.array([class_of[u] for u in units.unit], dtype=np.int64) if len(units.unit) else np.zeros(0, dtype=np.int64)
+    is_unit = units.unit < first_stratum
+    size, kinds_in = np.zeros(k), np.zeros(k)
+    np.add.at(size, own_class[is_unit], units.counts[is_unit])
+    np.add.at(kinds_in, own_class[is_unit], 1)
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toLocalIterator():
+        size[r["class"]] += r["n"]
+        kinds_in[r["class"]] += r["kinds"]
+    # Unseen words of a stratum: where most of its once-seen words are.
+    stratum_class = class_of[first_stratum:].copy()
+    best = tail.where("n = 1").groupBy("stratum", "class").count().groupBy("stratum").agg(F.max_by(F.col("class"), F.struct(F.col("count"), -F.col("class"))).alias("class"))
+    for r in best.toLocalIterator():
+        stratum_class[r["stratum"]] = r["class"]
+    known = tail.where(F.col("n") >= max(1.0, known_share * total))
+    for r in known.select("word", "class").toLocalIterator():
+        own_class[units.ids[bytes(r["word"])]] = r["class"]
     discount = once / (once + 2.0 * twice) if once and twice else 0.5
-    by_unit = np.zeros(n_units)
-    for r in pairs.groupBy("v").agg(F.sum("n").alias("n")).toLocalIterator():
-        by_unit[r["v"]] = r["n"]
-    words = counts.where((F.col("n") < max(1.0, unit_share * total)) & (F.col("word") != F.lit(END)))
-    tail = F.expr("substring(word, greatest(length(word) - 1, 1), 2)")
-    kinds = np.zeros(STRATA)
-    for r in words.groupBy((F.crc32(tail) % STRATA).alias("s")).agg(F.count("*").alias("n")).toLocalIterator():
-        kinds[r["s"]] = r["n"]
-    mass = by_unit[1 + frequent :]
     with np.errstate(divide="ignore"):
-        unseen = np.where(kinds > 0, np.log10(discount * kinds / np.maximum(mass, 1)), 0.0)
-    log_mass = np.log10(np.maximum(mass, 1))
+        unseen_share = np.where(kinds_in > 0, np.log10(discount * kinds_in / np.maximum(size, 1)), 0.0)
+    words = Vocabulary(units, own_class, stratum_class, np.log10(np.maximum(size, 1)), unseen_share, float(discount))
 
+    rest = tail.where(F.col("n") < max(1.0, known_share * total)).select("word", "n", "class")
+    ends = int(counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    classed = cut(classed_texts(rows, words, rest, total, distinct, ends), "classed")
+    step = np.log10(smoothed(transitions(classed, k))) if total else np.zeros((k, k))
+    sent = spark.sparkContext.broadcast(step)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = [x.as_py() for x in batch.column(7)]
+            if not strings:
+                continue
+            c = np.frombuffer(b"".join(strings), dtype=np.uint8)
+            starts = np.cumsum([0] + [len(x) for x in strings[:-1]])
+            # A text ends with the end's class 0, and so each starts after one.
+            moves = np.add.reduceat(sent.value[np.append(0, c[:-1]), c], starts)
+            emission = batch.column(6).to_numpy() if total else np.zeros(len(strings))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), batch.column(5), pa.array(moves + emission)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = classed.where("asked").mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def smoothed(m: np.ndarray) -> np.ndarray:
+    """Transition probabilities of class bigram counts, drawn to the class shares."""
     column = m.sum(axis=0)
-    share = (column + 1) / (column.sum() + k)
-    step = np.log10((m + PRIOR * share[None, :]) / (m.sum(axis=1)[:, None] + PRIOR))
-    in_class = np.bincount(class_of, minlength=k)
-    emission = np.log10((by_unit + 0.5) / (column[class_of] + 0.5 * in_class[class_of]))
-    if len(units.counts):
-        own = units.unit <= frequent
-        inner = np.where(own, 0.0, np.log10(np.maximum(units.counts - discount, 1e-9)) - log_mass[np.maximum(units.unit - 1 - frequent, 0)])
-        base = np.log10((units.counts + 1) / (total + distinct + 1))
-    else:
-        inner = base = np.zeros(0)
-    ends = int(by_unit[0])
-    base_end = float(np.log10((ends + 1) / (total + distinct + 1)))
-    if not total:
-        step, emission = np.zeros_like(step), np.zeros_like(emission)
-    sent = spark.sparkContext.broadcast((units.ids, units.unit, n_units, class_of, step, emission, inner, base))
-    known_end = int(ends > 0)
+    share = (column + 1) / (column.sum() + len(m))
+    return (m + PRIOR * share[None, :]) / (m.sum(axis=1)[:, None] + PRIOR)
+
+
+def with_codes(words: DataFrame) -> DataFrame:
+    """(word, n, code, stratum) of (word, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, unit, n_units, class_of, step, emission, inner, base = sent.value
-        look = Lookup(ids_)
-        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            raw = [lowered(t.as_py()) for t in batch.column(1)]
-            for a, b in portions(raw, 4_000_000):
-                tokens, ids, size, units_ = _unit_rows(raw[a:b], look, unit, n_units)
-                c = class_of[units_]
-                value = step[np.concatenate(([0], c[:-1])), c] + emission[units_]
-                starts = np.cumsum(size + 1) - size - 1
-                score = np.add.reduceat(value, starts)
-                known = ids >= 0
-                text = np.repeat(np.arange(b - a), size)
-                at = ids[known]
-                n_known = np.bincount(text[known], minlength=b - a) + known_end
-                score += np.bincount(text[known], weights=inner[at], minlength=b - a)
-                base_score = np.bincount(text[known], weights=base[at], minlength=b - a) + base_end
-                rare = np.flatnonzero(~known)
-                rows = np.arange(row, row + b - a)
-                row += b - a
-                n, r = b - a, len(rare)
-                # A text's own row has a key that no word can be.
-                keys = [b" %d" % x for x in rows.tolist()] + [tokens[i] for i in rare.tolist()]
-                both = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(r, kind)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([rows, rows[text[rare]]])), pa.array(keys, pa.binary()), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array((-1 - ids[rare]).astype(np.int32))]), both(doc_ids[a:b], pa.int64()), both(size + 1, pa.int64()), both(n_known, pa.int64()), both(base_score, pa.float64()), both(score, pa.float64())],
-                    names=["row", "word", "stratum", "doc_id", "n_tokens", "n_known", "base", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, word binary, stratum int, doc_id long, n_tokens long, n_known long, base double, score double")
-    rest = counts.where(F.col("n") < max(1.0, known_share * total)).select("word", F.col("n").alias("c"))
-    place = lambda values: F.get(F.lit([float(x) for x in values]), F.col("stratum"))
-    rare = F.col("stratum").isNotNull()
-    terms = scored.join(rest, "word", "left").select(
-        "row", "doc_id", "n_tokens", F.when(rare, F.col("c").isNotNull().cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).otherwise(F.col("base")).alias("base"),
-        F.when(~rare, F.col("score")).when(F.col("c").isNull(), place(unseen)).otherwise(F.log10(F.greatest(F.col("c") - F.lit(float(discount)), F.lit(1e-9))) - place(log_mass)).alias("score"))
-    out = terms.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_code(w) for w in own], pa.int64()), pa.array([stratum(w) for w in own], pa.int32())], names=["word", "n", "code", "stratum"])
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n long, code long, stratum int")
 
 
 def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: every document scored; those of remainder 2 of 7 are held out."""
     docs = table(spark, sf_dir, "documents")
-    out = fit_and_score(docs, docs.where(~held_out("doc_id", 7, 2)))
+    out = fit_and_score(docs, ~held_out("doc_id", 7, 2))
     return out.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -202,26 +202,79 @@ def test_class_lm_counts_and_base(spark):
         assert r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / len(tokens)), rel_tol=1e-9)
 
 
-def test_class_lm_sums_to_one(spark):
-    """After a given word, the chances of every seen token and the one unseen event sum to one."""
+def test_class_lm_against_brute_force(spark, monkeypatch):
+    """Tail classes, transitions and scores from plain counts over texts, and sums that are one."""
     rng = random.Random(5)
-    train = [(i, " ".join(rng.choice(["a", "b", "c", f"r{rng.randrange(40)}"]) for _ in range(30))) for i in range(40)]
-    vocabulary = sorted({w for _, t in train for w in t.split()})
-    # "x" has one stratum of its own: each stratum's unseen event is asked for once.
-    tails = {class_lm.stratum(w.encode()): None for w in vocabulary if w not in "abc"}
-    k, unseen = 0, []
-    while len(unseen) < class_lm.STRATA:
-        w = f"zz{k}"
-        k += 1
-        if class_lm.stratum(w.encode()) not in {class_lm.stratum(u.encode()) for u in unseen}:
-            unseen.append(w)
-        if k > 200_000:
-            break
-    asks = [(0, "a")] + [(i + 1, f"a {w}") for i, w in enumerate(vocabulary + unseen)]
-    got = {r["doc_id"]: r["score"] for r in class_lm.fit_and_score(docs_of(spark, asks), docs_of(spark, train), classes=4, unit_share=0.05, known_share=0.02).collect()}
-    assert len(tails) > 3 and all(math.isfinite(x) for x in got.values())
-    # P("a w end") / P(end | class of w) isn't at hand, so the bound is on the sum: no more than one.
-    assert sum(10 ** (got[i + 1]) for i in range(len(asks) - 1)) <= 1
+    word = lambda: rng.choice(["a", "b", "c", "d", f"r{rng.randrange(60)}x", f"q{rng.randrange(200)}y"])
+    train = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(60)]
+    asks = [*train[:20], (100, "a new word"), (101, None), (102, "a zzr1x b a q999y"), (103, train[0][1]), (None, "b c " * 4000), (104, "r1x " * 3)]
+    seen, clustered = {}, []
+    plain_cut, plain_exchange = class_lm.cut, class_lm.exchange_clustering
+    monkeypatch.setattr(class_lm, "cut", lambda df, name: seen.setdefault(name, plain_cut(df, name)))
+    monkeypatch.setattr(class_lm, "exchange_clustering", lambda *a, **k: clustered.append(plain_exchange(*a, **k)) or clustered[-1])
+    k, share = 6, 0.05
+    got = {r["doc_id"]: r for r in class_lm.fit_and_score(docs_of(spark, asks).withColumn("score", F.lit("clash")), docs_of(spark, train), classes=k, unit_share=share, known_share=0.004).collect()}
+    assert len(got) == len(asks) and math.isclose(got[103]["score"], got[0]["score"], rel_tol=1e-12)
+
+    tokens = [[*t.split(), "\n"] for _, t in train]
+    count = Counter(w for t in tokens for w in t)
+    total = sum(count.values())
+    class_of, m = clustered[0]
+    units = sorted((w for w in count if w != "\n" and count[w] >= share * total), key=lambda w: (-count[w], w))
+    unit = {"\n": 0} | {w: i + 1 for i, w in enumerate(units)}
+    first = {w: int(class_of[unit[w]] if w in unit else class_of[1 + len(units) + class_lm.stratum(w.encode())]) for w in count}
+    cells = Counter((first[a], first[b]) for t in tokens for a, b in zip(["\n", *t[:-1]], t))
+    assert all(m[x, y] == cells[x, y] for x in range(k) for y in range(k))
+    # Each other word to its likeliest class.
+    around = defaultdict(Counter)
+    for t in tokens:
+        for i, w in enumerate(t):
+            if w not in unit:
+                around[w]["before", first[t[i - 1]] if i else 0] += 1
+                around[w]["after", first[t[i + 1]]] += 1
+
+    def moves(m):
+        columns, rows = m.sum(axis=0), m.sum(axis=1)
+        return lambda x, y: (m[x, y] + class_lm.PRIOR * (columns[y] + 1) / (columns.sum() + k)) / (rows[x] + class_lm.PRIOR)
+
+    p, of = moves(m), {w: first[w] for w in unit}
+    for w in around:
+        s = class_lm.stratum(w.encode())
+        weights = [1e-3 + class_lm.STRATUM_WEIGHT * (class_of[1 + len(units) + s] == c) + sum(class_lm.stratum(u.encode()) == s and first[u] == c for u in units) for c in range(k)]
+        value = [sum(n * math.log10(p(x, c) if side == "before" else p(c, x)) for (side, x), n in around[w].items()) - count[w] * math.log10(max(m[:, c].sum(), 1)) + math.log10(weights[c] / sum(weights)) for c in range(k)]
+        of[w] = max(range(1, k), key=lambda c: (value[c], -c))
+    assert {bytes(r["word"]).decode(): r["class"] for r in seen["tail-classes"].collect()} == {w: of[w] for w in around}
+
+    final = np.zeros((k, k))
+    for t in tokens:
+        for a, b in zip(["\n", *t[:-1]], t):
+            final[of[a], of[b]] += 1
+    p, once, twice = moves(final), sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values())
+    d = once / (once + 2 * twice)
+    size, kinds = Counter(), Counter()
+    for w, n in count.items():
+        size[of[w]] += n
+        kinds[of[w]] += w != "\n"
+    hapaxes = Counter((class_lm.stratum(w.encode()), of[w]) for w in around if count[w] == 1)
+
+    def stratum_class(w):
+        s = class_lm.stratum(w.encode())
+        found = [(n, -c) for (x, c), n in hapaxes.items() if x == s]
+        return -max(found)[1] if found else int(class_of[1 + len(units) + s])
+
+    def emission(w, c):
+        if w == "\n":
+            return 1.0
+        return (count[w] - d) / size[c] if count[w] else (d * kinds[c] / size[c] if kinds[c] else 1.0)
+
+    for i, t in asks:
+        own = [*(t or "").split(), "\n"]
+        classes = [of[w] if w in of else stratum_class(w) for w in own]
+        expected = sum(math.log10(p(x, y)) + math.log10(emission(w, y)) for w, x, y in zip(own, [0, *classes[:-1]], classes))
+        assert math.isclose(got[i]["score"], expected, rel_tol=1e-9), i
+    for x in range(k):
+        unseen = sum(p(x, c) * emission("never seen", c) for c in range(1, k))
+        assert math.isclose(sum(p(x, of[w]) * emission(w, of[w]) for w in count) + unseen, 1, rel_tol=1e-9)
 
 
 def test_exchange_only_raises_likelihood():
