@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +24,14 @@ def horizon_weeks(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFram
     days, weekly = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ageing_days", "weekly_sell_through"))
     weeks = weeks_on_floor(F.col("ageing_days"), F.col("sell_through"), F.col("weekly_sell_through"), policy.fallback_horizon_weeks)
     told = history.where((days > 0) | (weekly > 0)).select(weeks.alias("w"))
-    # From the top down, the lower of two middle rows is the upper median.
-    return told.agg(F.coalesce(F.expr("percentile_disc(0.5) within group (order by w desc)"), F.lit(policy.fallback_horizon_weeks)).alias("horizon_weeks"))
+    # One row for each distinct number of weeks; of those from whose end half of all rows
+    # or fewer lie above, the least is the upper median.
+    counts = settle(told.groupBy("w").agg(F.count("*").alias("n")).withColumn("bucket", F.floor("w")), "weeks")
+    by_bucket = Window.orderBy("bucket")
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(by_bucket), "total": F.sum("n").over(Window.partitionBy())})
+    held = sums.where("2 * upto > total").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "total")).alias("h")).select("h.*")
+    inside = counts.join(F.broadcast(held), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy("w")))
+    return inside.where("2 * upto > total").agg(F.coalesce(F.min("w"), F.lit(policy.fallback_horizon_weeks)).alias("horizon_weeks"))
 
 
 def with_rates(history: DataFrame, policy: DemandPolicy = DEMAND, horizon: Column | None = None) -> DataFrame:
@@ -145,17 +153,58 @@ def pooled_demand(upcoming: DataFrame, accepted: DataFrame, history: DataFrame,
     }).drop("mean", "spread", "rate_mu", "prior_mu", "prior_sigma", "prior_level")
 
 
-def fit_demand(history: DataFrame, policy: DemandPolicy = DEMAND) -> dict[str, DataFrame]:
-    """All fitted tables: horizon, rated history, raw and shrunk priors, tau, ceilings, corrected history.
+class Fitted(Mapping):
+    """The tables of a fitted demand model, each made when it is first asked for.
 
-    Each is written once, as several others and the forecast read it.
+    history (with corrected rates), rated, horizon, raw, priors, tau, ceilings.  What several
+    others and the forecast read is written once; what nobody asks for is never made.
     """
-    history = settle(history, "history")
-    horizon = settle(horizon_weeks(history, policy), "horizon")
-    rated = settle(with_rates(history, policy, horizon.scalar()), "rated")
-    raw = settle(rate_priors(rated, policy), "raw-priors")
-    priors = settle(shrunk_priors(raw, policy), "priors")
-    return {
-        "rated": rated, "raw": raw, "priors": priors, "tau": settle(shrinkage_tau(raw, policy), "tau"), "horizon": horizon,
-        "ceilings": settle(buy_ceilings(history, policy), "ceilings"), "history": settle(corrected_rates(rated, priors), "corrected"),
-    }
+
+    NAMES = ("rated", "raw", "priors", "tau", "horizon", "ceilings", "history")
+
+    def __init__(self, history: DataFrame, policy: DemandPolicy) -> None:
+        self.source, self.policy = settle(history, "history"), policy
+        self.made: dict[str, DataFrame] = {}
+
+    def _make(self, name: str) -> DataFrame:
+        if name == "horizon":
+            return settle(horizon_weeks(self.source, self.policy), "horizon")
+        if name == "rated":
+            return with_rates(self.source, self.policy, self["horizon"].scalar())
+        if name == "raw":
+            return settle(rate_priors(self["rated"], self.policy), "raw-priors")
+        if name == "priors":
+            return settle(shrunk_priors(self["raw"], self.policy), "priors")
+        if name == "tau":
+            return shrinkage_tau(self["raw"], self.policy)
+        if name == "ceilings":
+            return buy_ceilings(self.source, self.policy)
+        return settle(corrected_rates(self["rated"], self["priors"]), "corrected")
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if name not in self.made:
+            self.made[name] = self._make(name)
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+
+def fit_demand(history: DataFrame, policy: DemandPolicy = DEMAND) -> Fitted:
+    """The fitted tables of a history; each is made when it is asked for."""
+    return Fitted(history, policy)
+
+
+def published(fitted: Fitted) -> DataFrame:
+    """What a build publishes of the model: (kind, key, value..) rows of priors and of buy ceilings, with horizon and tau."""
+    one = {"horizon_weeks": F.round(fitted["horizon"].scalar(), 4), "tau": F.round(fitted["tau"].scalar(), 4)}
+    six = lambda c: F.round(c, 6).alias(c)
+    none = lambda c, t="double": F.lit(None).cast(t).alias(c)
+    priors = fitted["priors"].select(F.lit("prior").alias("kind"), F.concat_ws("|", "item_type", "category_type").alias("key"), six("mu"), six("sigma"), "rows", none("ceiling"))
+    ceilings = fitted["ceilings"].select(F.lit("ceiling").alias("kind"), F.coalesce("item_type", F.lit("")).alias("key"), none("mu"), none("sigma"), none("rows", "long"), F.round("ceiling", 2).alias("ceiling"))
+    return priors.unionByName(ceilings).withColumns(one)

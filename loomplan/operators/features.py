@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomplan.functions.numeric import quality_flags
 from loomplan.functions.text import normalize_text
 
 
@@ -13,15 +14,27 @@ def historical_id(season: Column, product_id: Column) -> Column:
     return F.concat_ws("-", season, product_id)
 
 
+class NothingLeft(ValueError):
+    """A catalogue of which no row can be used."""
+
+
+def required(rows: DataFrame, message: str) -> DataFrame:
+    """``rows``, or an error if there is none; this runs a job that stops at the first row."""
+    if rows.isEmpty():
+        raise NothingLeft(message)
+    return rows
+
+
 def exclude_zero_sales(rows: DataFrame, sales: str = "sales_qty") -> DataFrame:
-    """Rows with sales other than zero; negative ones stay."""
-    return rows.where(F.col(sales) != 0)
+    """Rows with sales other than zero; negative ones stay; it is an error if none does."""
+    return required(rows.where(F.col(sales) != 0), "no historical row has sales")
 
 
 def with_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:
-    """Upcoming rows whose item type, normalised, is in the history."""
+    """Upcoming rows whose item type, normalised, is in the history; it is an error if none is."""
     types = history.select(normalize_text(F.col("item_type")).alias("_type")).distinct()
-    return upcoming.join(types, normalize_text(F.col("item_type")) == F.col("_type"), "left_semi")
+    found = upcoming.join(types, normalize_text(F.col("item_type")) == F.col("_type"), "left_semi")
+    return required(found, "no upcoming row has an item type of the history")
 
 
 def without_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:
@@ -58,3 +71,29 @@ def visible(products: DataFrame, has_image: str = "has_image") -> DataFrame:
     """Products with an image, or all where none has one."""
     some = products.agg(F.max(F.col(has_image).cast("int")).alias("m")).select(F.coalesce("m", F.lit(0))).scalar()
     return products.where(F.col(has_image) | (some == 0))
+
+
+def image_urls(products: DataFrame, images: DataFrame, prefix: str, key: str = "product_id") -> DataFrame:
+    """Adds image_url: ``prefix`` and the id where an image of that stem is there, by upper-case id; otherwise null."""
+    stems = images.select(F.upper("stem").alias("_stem")).distinct()
+    joined = products.join(stems, F.upper(key) == F.col("_stem"), "left")
+    return joined.withColumn("image_url", F.when(F.col("_stem").isNotNull(), F.concat(F.lit(prefix.rstrip("/") + "/"), F.col(key)))).drop("_stem")
+
+
+def missing_images(products: DataFrame) -> DataFrame:
+    """(ordinal, id) of the products without an image."""
+    return products.where(~F.col("has_image")).select("ordinal", "id")
+
+
+#: The anomalies that are counted, as quality flags name them.
+ANOMALIES = ["dispatch_above_order", "sales_above_dispatch", "sell_through_above_100", "negative_value"]
+
+
+def dataset_meta(history: DataFrame, upcoming: DataFrame) -> DataFrame:
+    """One row: products, image coverage, censored rows and the history's anomalies by kind."""
+    flags = quality_flags(F.col("order_qty"), F.col("dispatch_qty"), F.col("sales_qty"), F.col("sell_through"))
+    counts = [F.count_if(F.array_contains(flags, a)).alias(a) for a in ANOMALIES]
+    a = history.agg(F.count("*").alias("historical_items"), F.count_if("has_image").alias("historical_images"), F.count_if("demand_censored").alias("censored"), *counts)
+    b = upcoming.agg(F.count("*").alias("upcoming_items"), F.count_if("has_image").alias("upcoming_images"), F.count_if(~F.col("has_image")).alias("missing_upcoming_images"))
+    # One row each.
+    return a.join(b, F.lit(True))

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window
 
 from loomplan.functions.numeric import hybrid_score, similarity
 from loomplan.functions.text import TROUSER_TYPE, canonical_design, needs_pattern_gate, needs_trouser_gate, retrieval_key
+from loomplan.operators.quantiles import exact_percentiles
 from loomplan.policy import MATCH, MatchPolicy
 from loomplan.sources.stage import settle
 
-#: Rows of one cohort in a block of the searched side, and of the queries.
+#: Rows of one cohort in a block, of the searched side as of the queries.
 BLOCK = 4_096
 DELTA_E_SCALE = 50.0
 
@@ -32,46 +34,65 @@ def cohort_key(policy: MatchPolicy = MATCH) -> Column:
     return F.concat(*[x for p in parts for x in (p, F.lit("\x1f"))]) if parts else F.lit("all")
 
 
-def _blocked(df: DataFrame, key: Column, sizes: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("cohort", key).where("cohort is not null").join(sizes, "cohort").withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _side(df: DataFrame, key: Column, side: str, blocks: DataFrame) -> DataFrame:
+    """Rows with their cohort and its numbers of blocks, and the row's own block."""
+    own = df.withColumn("cohort", key).where("cohort is not null").join(blocks, "cohort")
+    return own.withColumn(f"{side}_block", F.pmod(F.xxhash64("id"), F.col(f"{side}_blocks")).cast("int"))
+
+
+def _blocks_of(df: DataFrame, key: Column, side: str, block: int) -> DataFrame:
+    return df.select(key.alias("cohort")).where("cohort is not null").groupBy("cohort").agg(F.ceil(F.count("*") / block).cast("int").alias(f"{side}_blocks"))
+
+
+def _met(left: DataFrame, right: DataFrame, key: Column, block: int):
+    """The rows of each cohort of ``left`` and ``right`` (id, ordinal, vector), each block of one with each block of the other."""
+    blocks = _blocks_of(left, key, "left", block).join(_blocks_of(right, key, "right", block), "cohort")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_blocks") - 1)).alias(f"{side}_block")
+    x = _side(left, key, "left", blocks).select("cohort", "left_block", every("right"), F.col("id").alias("left_id"), F.col("vector").alias("left_vector"))
+    y = _side(right, key, "right", blocks).select("cohort", every("left"), "right_block", F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), F.col("vector").alias("right_vector"))
+    group = ["cohort", "left_block", "right_block"]
+    return x.groupBy(*group).cogroup(y.groupBy(*group))
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
 
 
 def cohort_topk(left: DataFrame, right: DataFrame, k: int, *, policy: MatchPolicy = MATCH, block: int = BLOCK) -> DataFrame:
     """(left_id, right_id, retrieval_rank, distance): the k nearest of the same cohort.
 
-    left, right: id, ordinal, item_type, design, vector (unit length).  The searched
-    side of a cohort is cut into blocks, so one large cohort is many tasks; each
-    task multiplies matrices and hands on its best k for each query, and a window
-    merges them.  Ties go to the lower ordinal.  Distance is 1 - the inner product
-    in double precision, held to [0, 2].
+    left, right: id, ordinal, item_type, design, vector (unit length).  Both sides of a
+    cohort are cut into blocks, so one large cohort is many tasks of bounded size; each
+    multiplies matrices and hands on its best k for each query, and a window merges
+    them.  Ties go to the lower ordinal.  Distance is 1 - the inner product in double
+    precision, held to [0, 2].
     """
-    key = cohort_key(policy)
-    sizes = right.withColumn("cohort", key).where("cohort is not null").groupBy("cohort").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    candidates = _blocked(right, key, sizes, "block").select("cohort", "block", F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), F.col("vector").alias("right_vector"))
-    queries = left.withColumn("cohort", key).where("cohort is not null").join(sizes, "cohort")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cohort", "block", F.col("id").alias("left_id"), F.col("vector").alias("left_vector"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"left_id": [], "right_id": [], "right_ordinal": [], "distance": []}
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
         if len(a) and len(b):
-            b = b.sort_values("right_ordinal", kind="stable")
-            y = np.stack(b["right_vector"].to_numpy()).astype(np.float64)
-            ids, ordinals = b["right_id"].to_numpy(), b["right_ordinal"].to_numpy()
-            for at in range(0, len(a), 1024):
-                part = a.iloc[at : at + 1024]
-                x = np.stack(part["left_vector"].to_numpy()).astype(np.float64)
-                d = 1 - x @ y.T
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for row, (left_id, picked) in enumerate(zip(part["left_id"], order)):
-                    out["left_id"] += [left_id] * len(picked)
-                    out["right_id"] += ids[picked].tolist()
-                    out["right_ordinal"] += ordinals[picked].tolist()
-                    out["distance"] += np.clip(d[row, picked], 0, 2).tolist()
-        kinds = {"left_id": object, "right_id": object, "right_ordinal": "int64", "distance": "float64"}
-        return pd.DataFrame({c: pd.Series(v, dtype=kinds[c]) for c, v in out.items()})
-
-    kind = left.schema["id"].dataType.simpleString()
-    partial = queries.groupBy("cohort", "block").cogroup(candidates.groupBy("cohort", "block")).applyInPandas(best, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, right_ordinal long, distance double")
+            b = b.sort_by("right_ordinal")
+            y = _matrix(b["right_vector"])
+            for at in range(0, len(a), 512):
+                part = a.slice(at, 512)
+                d = 1 - _matrix(part["left_vector"]) @ y.T
+                rows = np.arange(len(d))[:, None]
+                if k < d.shape[1]:
+                    # All that are as near as the k-th, so that ties at the last place go by order.
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    row, column = np.nonzero(d <= last)
+                else:
+                    row, column = (x.ravel() for x in np.broadcast_arrays(rows, np.arange(d.shape[1])[None, :]))
+                out.append(pa.table({"left_id": part["left_id"].take(pa.array(row)), "right_id": b["right_id"].take(pa.array(column)), "right_ordinal": b["right_ordinal"].take(pa.array(column)), "distance": np.clip(d[row, column], 0, 2)}))
+        return pa.concat_tables(out) if out else pa.table({"left_id": a["left_id"].slice(0, 0), "right_id": b["right_id"].slice(0, 0), "right_ordinal": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+
+    partial = _met(left, right, cohort_key(policy), block).applyInArrow(best, f"left_id {_kind(left)}, right_id {_kind(right)}, right_ordinal long, distance double")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_ordinal"))
     return partial.withColumn("retrieval_rank", rank).where(F.col("retrieval_rank") <= k)
 
@@ -163,7 +184,7 @@ def calibration(distances: DataFrame) -> DataFrame:
     Exact percentiles with linear interpolation; the scale makes the logistic fall
     from 0.9 to 0.1 between q10 and q90.
     """
-    got = distances.where("distance is not null").groupBy("scope", "signal").agg(F.count("*").alias("n"), F.percentile("distance", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    got = exact_percentiles(distances, ["scope", "signal"], "distance", [0.1, 0.5, 0.9])
     q = lambda i: F.get("q", F.lit(i))
     return got.select("scope", "signal", "n", q(1).alias("median"), F.greatest((q(2) - q(0)) / (2 * math.log(9)), F.lit(1e-4)).alias("scale"), q(0).alias("q10"), q(2).alias("q90"))
 
@@ -197,43 +218,41 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("match_rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("hybrid_score"), "right_ordinal")))
 
 
-def _met_blocks(left: DataFrame, right: DataFrame, block: int):
-    """All rows of ``left`` and ``right`` (id, ordinal, vector), each block of one with each block of the other."""
-    a, b = (max(1, -(-df.count() // block)) for df in (left, right))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = left.select(F.col("id").alias("left_id"), F.col("vector").alias("left_vector"), own(a).alias("left_block")).withColumn("right_block", every(b))
-    y = right.select(F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal"), F.col("vector").alias("right_vector"), own(b).alias("right_block")).withColumn("left_block", every(a))
-    return x.groupBy("left_block", "right_block").cogroup(y.groupBy("left_block", "right_block"))
-
-
-def _distances(a: pd.DataFrame, b: pd.DataFrame):
-    """(first row of ``a``, distances to all of ``b`` in units of 1e-7), in portions of rows."""
+def _distances(a: pa.Table, b: pa.Table, others: bool):
+    """(first row of ``a``, distances to all of ``b`` in units of 1e-7), in portions of rows; -1 for a row itself if only ``others`` count."""
     if len(a) and len(b):
-        y = np.stack(b["right_vector"].to_numpy()).astype(np.float64)
+        y = _matrix(b["right_vector"])
+        place = {x: i for i, x in enumerate(b["right_id"].to_pylist())} if others else {}
         for at in range(0, len(a), 512):
-            x = np.stack(a["left_vector"].iloc[at : at + 512].to_numpy()).astype(np.float64)
-            yield at, np.rint(np.clip(1 - x @ y.T, 0, 2) * 1e7).astype(np.int64)
+            part = a.slice(at, 512)
+            d = np.rint(np.clip(1 - _matrix(part["left_vector"]) @ y.T, 0, 2) * 1e7).astype(np.int64)
+            if others:
+                for i, x in enumerate(part["left_id"].to_pylist()):
+                    if x in place:
+                        d[i, place[x]] = -1
+            yield at, d
 
 
-def all_pairs_calibration(left: DataFrame, right: DataFrame, *, block: int = BLOCK) -> tuple[int, float, float]:
+def all_pairs_calibration(left: DataFrame, right: DataFrame, *, block: int = BLOCK, others: bool = False) -> tuple[int, float, float]:
     """(n, median, scale) of the distances, to 7 places, of all rows of ``left`` to all of ``right``.
 
-    Exact, by the rule of ``calibration``.  Blocks hand on counts of their distances, of which
-    there are at most 20,000,001, so no list of pairs is made; the driver sees counts of 4,096
+    Exact, by the rule of ``calibration``; with ``others`` a row's distance to itself (the
+    same id) doesn't count.  Blocks hand on counts of their distances, of which there are
+    at most 20,000,001, so no list of pairs is made; the driver sees counts of 4,096
     distances at a time, and single ones only where a percentile lies.
     """
 
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
         # Portions are merged as they come, so that a task holds no more than one count a distance.
         codes = n = np.zeros(0, dtype=np.int64)
-        for _, d in _distances(a, b):
-            new, seen = np.unique(d, return_counts=True)
+        for _, d in _distances(a, b, others):
+            new, seen = np.unique(d[d >= 0], return_counts=True)
             both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
             codes, n = both, np.bincount(where, weights=np.concatenate([n, seen])).astype(np.int64)
-        return pd.DataFrame({"code": codes, "n": n})
+        return pa.table({"code": codes, "n": n})
 
-    fine = settle(_met_blocks(left, right, block).applyInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "distances")
+    met = _met(left, right, F.lit("all"), block).applyInArrow(count, "code long, n long")
+    fine = settle(met.groupBy("code").agg(F.sum("n").alias("n")), "distances")
     coarse = fine.groupBy(F.expr("code div 4096").alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").collect()
     if not coarse:
         return 0, 0.5, 0.1
@@ -252,33 +271,39 @@ def all_pairs_calibration(left: DataFrame, right: DataFrame, *, block: int = BLO
     return total, median, max((q90 - q10) / (2 * math.log(9)), 1e-4)
 
 
-def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: int, *, block: int = BLOCK) -> DataFrame:
+def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: int, *, block: int = BLOCK, others: bool = False) -> DataFrame:
     """(left_id, right_id, right_ordinal, distance, visual_score, hybrid_score, match_rank): the best k of the whole history.
 
     Every row of ``left`` is scored against every row of ``right`` (id, ordinal, vector),
-    whatever their item types, with the calibration of all those pairs.  ``products`` (id)
-    without a vector have no score and meet the first k of ``right`` in order.  A block
-    keeps its best k by rounded score, then order, so ties at the last place are right.
+    whatever their item types, with the calibration of all those pairs.  A row of ``right``
+    without a vector, and all of them for ``products`` (id) that aren't in ``left``, have a
+    null score that ranks as 0, in order.  With ``others`` a row doesn't meet itself.  A
+    block keeps its best k by rounded score, then order, so ties at the last place are right.
     """
-    _, median, scale = all_pairs_calibration(left, right, block=block)
+    seen = right.where("vector is not null")
+    _, median, scale = all_pairs_calibration(left, seen, block=block, others=others)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("right_ordinal", kind="stable")
-        ids, ordinals, left_ids = b["right_id"].to_numpy(), b["right_ordinal"].to_numpy(), a["left_id"].to_numpy()
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("right_ordinal")
         out = []
-        for at, d in _distances(a, b):
+        for at, d in _distances(a, b, others):
             score = np.rint(1e4 / (1 + np.exp(np.clip((d / 1e7 - median) / max(scale, 1e-6), -30, 30))))
+            score[d < 0] = -1
             picked = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            rows = np.arange(len(d))[:, None]
-            out.append(pd.DataFrame({"left_id": np.repeat(left_ids[at : at + len(d)], picked.shape[1]), "right_id": ids[picked].ravel(), "right_ordinal": ordinals[picked].ravel(), "distance": (d[rows, picked] / 1e7).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "right_ordinal": [], "distance": []})
+            row, column = np.repeat(np.arange(len(d)), picked.shape[1]), picked.ravel()
+            row, column = (x[d[row, column] >= 0] for x in (row, column))
+            out.append(pa.table({"left_id": a["left_id"].take(pa.array(at + row)), "right_id": b["right_id"].take(pa.array(column)), "right_ordinal": b["right_ordinal"].take(pa.array(column)), "distance": d[row, column] / 1e7}))
+        return pa.concat_tables(out) if out else pa.table({"left_id": a["left_id"].slice(0, 0), "right_id": b["right_id"].slice(0, 0), "right_ordinal": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
-    kind = lambda df: df.schema["id"].dataType.simpleString()
-    near = _met_blocks(left, right, block).applyInPandas(best, f"left_id {kind(left)}, right_id {kind(right)}, right_ordinal long, distance double")
+    near = _met(left, seen, F.lit("all"), block).applyInArrow(best, f"left_id {_kind(left)}, right_id {_kind(right)}, right_ordinal long, distance double")
     near = near.withColumn("visual_score", similarity(F.col("distance"), F.lit(median), F.lit(scale)))
-    first = right.select(F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal")).orderBy("right_ordinal").limit(k)
-    blind = products.join(left.select("id"), "id", "left_anti").select(F.col("id").alias("left_id")).join(F.broadcast(first), F.lit(True))
-    both = near.unionByName(blind.withColumns({"distance": F.lit(None).cast("double"), "visual_score": F.lit(None).cast("double")}))
+    unscored = {"distance": F.lit(None).cast("double"), "visual_score": F.lit(None).cast("double")}
+    # At most k + 1 rows each: what stands first in order, and that without a vector.
+    first = lambda df: df.select(F.col("id").alias("right_id"), F.col("ordinal").alias("right_ordinal")).orderBy("right_ordinal").limit(k + others)
+    blind = products.join(left.select("id"), "id", "left_anti").select(F.col("id").alias("left_id")).join(F.broadcast(first(right)), F.lit(True))
+    behind = left.select(F.col("id").alias("left_id")).join(F.broadcast(first(right.where("vector is null"))), F.lit(True))
+    blind = blind.unionByName(behind).withColumns(unscored)
+    both = near.unionByName(blind.where("left_id <> right_id") if others else blind)
     return ranked(both.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4))).where(F.col("match_rank") <= k)
 
 

@@ -15,7 +15,7 @@ from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
 from loomplan.policy import MATCH
 from loomplan.sources import publish
-from loomplan.sources.stage import settle
+from loomplan.sources.stage import new_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,14 +172,15 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_pairs(spark, sf_dir).select("vec_id", num.unit_distance(F.col("a"), F.col("b")).alias("distance"), _r(num.cosine_distance(F.slice("a", 1, 16), F.slice("b", 1, 16))).alias("cosine"))
+    return vector_pairs(spark, sf_dir).select("vec_id", num.unit_distance(F.col("a"), F.col("b")).alias("distance"), _r(num.cosine_distance(F.col("a"), F.col("b"))).alias("cosine"))
 
 
 @query
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    unit = part.select("vec_id", num.l2_normalize(F.col("v")).alias("u"))
-    return unit.select("vec_id", *[_r(F.get("u", F.lit(i))).alias(f"u{i}") for i in range(3)])
+    """All dimensions, those of odd place weighed down first."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x / (1 + i % 2))
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", num.l2_normalize(v).alias("u"))
+    return unit.select("vec_id", F.posexplode("u").alias("dim", "u")).select("vec_id", "dim", _r("u"))
 
 
 @query
@@ -215,7 +216,8 @@ def validate_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = validate.validated(raw_catalogue(spark, sf_dir), historical=True)
-    stems = validate.clean_rows(checked).where("ordinal % 3 = 0").select(F.col("product_id").alias("stem")).union(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem")))
+    pictured = domain.image_ids(spark, sf_dir).withColumnRenamed("_vec", "ordinal")
+    stems = validate.clean_rows(checked).join(pictured, "ordinal", "left_semi").select(F.col("product_id").alias("stem")).union(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem")))
     return validate.ordered_report(validate.report(checked, stems, "historical"))
 
 
@@ -242,16 +244,20 @@ def historical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.historical_features(h)
 
 
+def _finer(items: DataFrame) -> DataFrame:
+    """Brand, type and design as the item type, so that some new products have one without a history."""
+    return items.withColumn("item_type", F.concat_ws(" ", "category_type", "item_type", "design"))
+
+
 @query
 def upcoming_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = domain.history(spark, sf_dir).where("category_type < 'Brand#3'").select(F.concat(F.lower("item_type"), F.lit("  ")).alias("item_type")).where("lower(item_type) < 'p'")
-    return features.with_history(domain.upcoming(spark, sf_dir), h).select("id", "item_type")
+    h = _finer(domain.history(spark, sf_dir)).select(F.concat(F.lower("item_type"), F.lit("  ")).alias("item_type"))
+    return features.with_history(_finer(domain.upcoming(spark, sf_dir)), h).select("id", "item_type")
 
 
 @query
 def upcoming_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = domain.history(spark, sf_dir).where("lower(item_type) < 'p'")
-    return features.upcoming_features(domain.upcoming(spark, sf_dir), h).select("id", F.array_join("model_flags", ",").alias("flags"))
+    return features.upcoming_features(_finer(domain.upcoming(spark, sf_dir)), _finer(domain.history(spark, sf_dir))).select("id", F.array_join("model_flags", ",").alias("flags"))
 
 
 @query
@@ -303,14 +309,13 @@ def shrinkage_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def buy_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = domain.history(spark, sf_dir)
-    return demand.with_ceiling(domain.upcoming(spark, sf_dir), demand.buy_ceilings(h.where("lower(item_type) < 'p'"))).select("id", _r("ceiling", 2))
+    return demand.with_ceiling(_finer(domain.upcoming(spark, sf_dir)), demand.buy_ceilings(_finer(domain.history(spark, sf_dir)))).select("id", _r("ceiling", 2))
 
 
 @query
 def prior_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = domain.history(spark, sf_dir).where("lower(item_type) < 'p' and category_type < 'Brand#4'")
-    return demand.with_prior(domain.upcoming(spark, sf_dir), demand.fit_demand(h)["priors"]).select("id", "prior_level", _r("prior_mu"), _r("prior_sigma"))
+    finer = lambda df: df.withColumns({"item_type": F.concat_ws(" ", "category_type", "item_type"), "category_type": F.col("design")})
+    return demand.with_prior(finer(domain.upcoming(spark, sf_dir)), demand.fit_demand(finer(domain.history(spark, sf_dir)))["priors"]).select("id", "prior_level", _r("prior_mu"), _r("prior_sigma"))
 
 
 @query
@@ -320,9 +325,7 @@ def corrected_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def published_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _fitted(spark, sf_dir)
-    key = F.concat_ws("|", "item_type", "category_type")
-    return f["priors"].select(key.alias("key"), _r("mu"), _r("sigma"), "rows", F.round(f["horizon"].scalar(), 4).alias("horizon_weeks"), F.round(f["tau"].scalar(), 4).alias("tau"))
+    return demand.published(_fitted(spark, sf_dir))
 
 
 # --- Matching -------------------------------------------------------------
@@ -347,7 +350,7 @@ def all_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visual_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Matching(spark, sf_dir).pairs().select("left_id", "right_id", "retrieval_rank", "candidate_rank", _r("fashion_distance", 5), _r("detail_distance", 5), _r("colour_distance", 4), _r("texture_distance", 5))
+    return Matching(spark, sf_dir).pairs().select("left_id", "right_id", "retrieval_rank", "candidate_rank", "fashion_distance", "detail_distance", "colour_distance", "texture_distance")
 
 
 @query
@@ -363,7 +366,7 @@ def vision_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visual_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Matching(spark, sf_dir).scored().select("left_id", "right_id", _r("fashion_score", 3), _r("texture_score", 3))
+    return Matching(spark, sf_dir).scored().select("left_id", "right_id", _r("fashion_score", 4), _r("texture_score", 4))
 
 
 @query
@@ -375,38 +378,29 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Matching(spark, sf_dir)
-    best = m.ranked().where("match_rank <= 4").select("left_id", "right_id", "match_rank", _r("hybrid_score", 3))
+    best = m.ranked().where("match_rank <= 4").select("left_id", "right_id", "match_rank", _r("hybrid_score", 4))
     return m.upcoming.select(F.col("id").alias("left_id")).join(best, "left_id", "left")
 
 
 def one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within the item type and its 50 nearest, as the SQL of the queries that use it has it."""
+    """The best matches of every new product in the whole history, calibrated on all pairs."""
     m = Matching(spark, sf_dir)
-    pairs = settle(similarity.cohort_topk(m.left, m.right, 50).select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")), "pairs")
-    fitted = similarity.calibration(pairs.select(F.lit("serving").alias("scope"), F.lit("fashion").alias("signal"), "distance"))
-    c = fitted.select(F.struct("median", "scale")).scalar()
-    scored = pairs.withColumn("_c", c).withColumn("visual_score", num.similarity(F.col("distance"), F.col("_c")["median"], F.col("_c")["scale"])).drop("_c")
-    return settle(similarity.ranked(scored.withColumn("hybrid_score", F.round(F.coalesce("visual_score", F.lit(0.0)), 4))), "ranked")
-
-
-def whole_one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best matches of the whole history, calibrated on all pairs, for the queries without SQL."""
-    m = Matching(spark, sf_dir)
-    # Without a vector in the history, all of it stands in, unscored.
     left, right = settle(m.left.select("id", "ordinal", "vector"), "left"), settle(m.right.select("id", "ordinal", "vector"), "right")
     if right.isEmpty():
-        left, right = left.limit(0), m.history.select("id", "ordinal", F.lit(None).cast("array<double>").alias("vector"))
+        # Without a vector in the history, all of it stands in, unscored.
+        right = m.history.select("id", "ordinal", F.lit(None).cast("array<double>").alias("vector"))
     return settle(similarity.whole_one_stage(left, right, m.upcoming.select("id"), MATCH.published), "ranked")
 
 
 @query
 def ranked_matches_whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_one_stage(spark, sf_dir).select("left_id", "right_id", "match_rank", _r("visual_score", 3))
+    return one_stage(spark, sf_dir).select("left_id", "right_id", "match_rank", _r("visual_score", 4))
 
 
 @query
 def ranked_matches_one_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one_stage(spark, sf_dir).where("match_rank <= 4").select("left_id", "right_id", "match_rank", _r("visual_score", 3))
+    got = one_stage(spark, sf_dir).join(domain.upcoming(spark, sf_dir).select(F.col("id").alias("left_id"), "item_type"), "left_id")
+    return got.select("left_id", "item_type", "right_id", "match_rank", _r("distance", 6), _r("visual_score", 4))
 
 
 @query
@@ -464,19 +458,22 @@ def recommendation_single_analogue(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = similarity.match_lists(whole_one_stage(spark, sf_dir))
+    lists = similarity.match_lists(one_stage(spark, sf_dir))
     return domain.upcoming(spark, sf_dir).join(lists, F.col("id") == F.col("left_id"), "left").drop("left_id")
 
 
 def _decisions(spark: SparkSession, sf_dir: str, settings: list[tuple[int, float, float]]) -> DataFrame:
     f = _fitted(spark, sf_dir)
     grid = spark.createDataFrame(settings, "setting_id int, minimum double, target double")
-    return recommend.what_if(_published(spark, sf_dir), grid, f["history"], f["priors"], f["ceilings"], f["tau"].scalar(), f["horizon"].scalar())
+    published = settle(_published(spark, sf_dir), "published")
+    # A planner has chosen the second published match of every third product.
+    chosen = published.where("ordinal % 3 = 0").select("id", F.get("matches", F.lit(1))["historical_id"].alias("historical_id")).where("historical_id is not null")
+    return recommend.what_if(published, grid, f["history"], f["priors"], f["ceilings"], f["tau"].scalar(), f["horizon"].scalar(), chosen=chosen)
 
 
 @query
 def whatif_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir, [(1, 0.5, 0.7), (2, 0.9, 0.7)]).select("setting_id", "id", "best_id", "no_match", "quantity", "expected_sales")
+    return _decisions(spark, sf_dir, [(1, 0.5, 0.7), (2, 0.9, 0.7)]).select("setting_id", "id", "best_id", "no_match", "match_confidence", "quantity", "expected_sales", "analogue_sales")
 
 
 @query
@@ -485,6 +482,15 @@ def target_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("setting_id").agg(F.sum("quantity").alias("total_quantity"), F.count_if("quantity_capped").alias("capped"), F.count_if(~F.col("no_match")).alias("matched"))
 
 
+@query
+def planner_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides and approvals that still hold, from a log of what planners did: users as plans, values as products."""
+    kinds = {"signup": "settings", "click": "override", "error": "choose", "purchase": "approve", "view": "reset"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("seq"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.floor("value").cast("string").alias("id"), F.floor(F.col("value") * 100).alias("quantity"))
+    return recommend.planner_state(log)
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _recommended(spark, sf_dir)
     n = F.col("ordinal")
@@ -495,8 +501,7 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def planner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = recommend.sales_from_order(F.col("final_quantity"), F.col("expected_sales"), F.col("sales_low"), F.col("sales_high"), F.col("pooled"))
-    return _planned(spark, sf_dir).select("id", "item_type", "category_type", txt.safe_cell(F.col("design")).alias("design"), "match_confidence", "quantity", "override_quantity", "final_quantity", "approved", *[c.alias(k) for k, c in sales.items()])
+    return recommend.planner_export(_planned(spark, sf_dir).withColumns({"style_score": F.col("best_score"), **{f"{c}_score": F.lit(None).cast("double") for c in ("colour", "pattern", "texture")}}))
 
 
 @query
@@ -507,19 +512,26 @@ def sales_from_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portfolio_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _planned(spark, sf_dir)
-    return p.agg(F.count("*").alias("styles"), _r(F.avg(F.col("has_image").cast("double")), 4).alias("coverage"), F.count_if(~F.col("no_match")).alias("decided"), F.sum("final_quantity").alias("total_order"), F.count_if("approved").alias("approved"))
+    return recommend.portfolio_kpis(_planned(spark, sf_dir))
 
 
 @query
 def portfolio_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.upper(F.concat_ws(" ", "id", "design", "colour", "category_type", "fabric"))
-    return _recommended(spark, sf_dir).where(text.contains("COTTON") & (F.col("match_confidence") != "Low")).select("id", "item_type", "match_confidence")
+    """One search for each confidence: a text in capitals, in lower case with an item type, and none."""
+    rows = settle(_recommended(spark, sf_dir), "recommended")
+    first = rows.agg(F.min("item_type").alias("t")).scalar()
+    found = [recommend.portfolio_search(rows, "cotton", confidence="High"), recommend.portfolio_search(rows, " COTTON "), recommend.portfolio_search(rows, "", item_type=first), recommend.portfolio_search(rows, "", confidence="Low")]
+    out = None
+    for i, df in enumerate(found):
+        part = df.select(F.lit(i).alias("search"), "id", "item_type", "match_confidence")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _recommended(spark, sf_dir).join(similarity.match_lists(one_stage(spark, sf_dir)), F.col("id") == F.col("left_id"), "left")
+    ranked = one_stage(spark, sf_dir)
+    rows = recommend.recommendations(domain.upcoming(spark, sf_dir), ranked, _fitted(spark, sf_dir)).join(similarity.match_lists(ranked), F.col("id") == F.col("left_id"), "left")
     return publish.export_rows(rows)
 
 
@@ -530,12 +542,12 @@ def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def build_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _fitted(spark, sf_dir)["history"]
-    u = domain.upcoming(spark, sf_dir)
-    flags = num.quality_flags(F.col("order_qty"), F.col("dispatch_qty"), F.col("sales_qty"), F.col("sell_through"))
-    a = h.agg(F.count("*").alias("historical_items"), F.count_if("has_image").alias("historical_images"), F.count_if("demand_censored").alias("censored"), F.count_if(F.array_contains(flags, "sales_above_dispatch")).alias("sales_above_dispatch"))
-    b = u.agg(F.count("*").alias("upcoming_items"), F.count_if("has_image").alias("upcoming_images"))
-    return a.join(b, F.lit(True))
+    return features.dataset_meta(_fitted(spark, sf_dir)["history"], domain.upcoming(spark, sf_dir))
+
+
+@query
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.missing_images(domain.upcoming(spark, sf_dir))
 
 
 @query
@@ -552,36 +564,44 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pictured products are wanted; the history's features are saved."""
     wanted = _features(spark, sf_dir)
-    return publish.cache_misses(wanted, wanted.where("ordinal % 3 = 0")).select("ordinal", "cache_key")
+    saved = wanted.join(domain.history(spark, sf_dir).select("ordinal"), "ordinal", "left_semi")
+    return publish.cache_misses(wanted, saved).select("ordinal", "cache_key")
 
 
 @query
 def feature_cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new products, and past ones that sold out, still use their features."""
     cache = _features(spark, sf_dir)
-    return publish.pruned(cache, cache.where("ordinal % 5 = 0"), cache.where("ordinal % 7 = 0")).select("ordinal", "cache_key")
+    of = lambda items: cache.join(items.select("ordinal"), "ordinal", "left_semi")
+    return publish.pruned(cache, of(domain.upcoming(spark, sf_dir)), of(domain.history(spark, sf_dir).where("sell_through >= 0.95"))).select("ordinal", "cache_key")
 
 
 @query
 def reuse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later set of new products against the history as published, refitted."""
-    later = domain.upcoming(spark, sf_dir).where("ordinal % 10 = 0")
-    published = _fitted(spark, sf_dir)["history"].select("ordinal", "id", "item_type", "category_type", "design", "fabric", "colour", "order_qty", "dispatch_qty", "sales_qty", "ageing_days", "sell_through", "weekly_sell_through", "has_image")
-    fresh = features.with_history(later, published)
-    ranked = one_stage(spark, sf_dir).join(fresh.select(F.col("id").alias("left_id")), "left_id", "left_semi")
+    """All new products against the history as published: its rows and its saved vectors, read back, refitted."""
+    columns = ["ordinal", "id", "item_type", "category_type", "design", "fabric", "colour", "order_qty", "dispatch_qty", "sales_qty", "ageing_days", "sell_through", "weekly_sell_through", "has_image"]
+    published = settle(_fitted(spark, sf_dir)["history"].select(*columns), "published-history")
+    path = new_path(spark, "saved-features")
+    m = Matching(spark, sf_dir)
+    publish.save_features(m.right.select("id", "vector"), path, "model-1")
+    saved = publish.load_features(spark, path, "model-1")
+    right = settle(features.visible(published).join(saved, "id", "left").select("id", "ordinal", "vector"), "right")
+    fresh = features.with_history(m.upcoming, published)
+    left = settle(m.left.select("id", "ordinal", "vector").join(fresh.select("id"), "id", "left_semi"), "left")
+    ranked = settle(similarity.whole_one_stage(left, right, fresh.select("id"), MATCH.published), "ranked")
     return recommend.recommendations(fresh, ranked, demand.fit_demand(published)).select("id", "best_id", "quantity")
 
 
 @query
 def loo_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every historical product forecast from the others, with priors held fixed."""
+    """Every historical product with an image forecast from the others, with priors held fixed."""
     m = Matching(spark, sf_dir)
     f = _fitted(spark, sf_dir)
-    pairs = settle(similarity.cohort_topk(m.right, m.right, 51).where("left_id <> right_id").select("left_id", "right_id", "right_ordinal", F.round("distance", 7).alias("distance")), "pairs")
-    c = similarity.calibration(pairs.select(F.lit("h").alias("scope"), F.lit("f").alias("signal"), "distance")).select(F.struct("median", "scale")).scalar()
-    scored = pairs.withColumn("_c", c).withColumn("visual_score", num.similarity(F.col("distance"), F.col("_c")["median"], F.col("_c")["scale"])).drop("_c").withColumn("hybrid_score", F.coalesce("visual_score", F.lit(0.0)))
-    accepted = recommend.accepted_analogues(similarity.ranked(scored))
-    out = demand.pooled_demand(m.history.select("id", "item_type", "category_type"), accepted, f["history"], f["priors"], f["tau"].scalar(), f["horizon"].scalar())
+    vectors = settle(m.right.select("id", "ordinal", "vector"), "right")
+    ranked = similarity.whole_one_stage(vectors, vectors, vectors.select("id"), MATCH.published, others=True)
+    out = demand.pooled_demand(m.history.select("id", "item_type", "category_type"), recommend.accepted_analogues(ranked), f["history"], f["priors"], f["tau"].scalar(), f["horizon"].scalar())
     actual = f["rated"].select("id", "cleaned_sales")
     e = F.col("point_demand") - F.col("cleaned_sales")
     inside = (F.col("cleaned_sales") >= F.col("p10")) & (F.col("cleaned_sales") <= F.col("p90"))
@@ -601,5 +621,5 @@ def build_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upcoming id, best analogue, confidence, expected sales, quantity and whether the ceiling held it."""
-    out = recommend.recommendations(domain.upcoming(spark, sf_dir), whole_one_stage(spark, sf_dir), _fitted(spark, sf_dir))
+    out = recommend.recommendations(domain.upcoming(spark, sf_dir), one_stage(spark, sf_dir), _fitted(spark, sf_dir))
     return out.select("id", "best_id", "match_confidence", "expected_sales", "quantity", "quantity_capped")

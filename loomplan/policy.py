@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults below are fixed values: results depend on them.
+
+
 @dataclass(frozen=True)
 class DemandPolicy:
     """Settings of the demand model."""

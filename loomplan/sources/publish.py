@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomplan.functions.text import safe_cell
 
@@ -27,7 +28,9 @@ def pruned(cache: DataFrame, *references: DataFrame) -> DataFrame:
 
 
 def save_features(features: DataFrame, path: str, model_key: str) -> None:
-    features.withColumn("model_key", F.lit(model_key)).write.mode("overwrite").partitionBy("model_key").parquet(path)
+    """Save the features of one model in place of its earlier ones; those of other models stay."""
+    rows = features.withColumn("model_key", F.lit(model_key))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_key").parquet(path)
 
 
 def load_features(spark: SparkSession, path: str, model_key: str) -> DataFrame:
@@ -38,9 +41,11 @@ def load_features(spark: SparkSession, path: str, model_key: str) -> DataFrame:
     return found.drop("model_key")
 
 
-def publish(tables: dict[str, DataFrame], root: str, build_id: str, created: str) -> None:
+def publish(tables: dict[str, DataFrame], root: str, build_id: str, created: str, *, historical_build: str | None = None) -> None:
     """Write a version, check that its tables can be read and hold rows, then add it to the manifest.
 
+    ``historical_build``: the build whose history this one reuses, which keeps that one's files.
+
     Readers follow the manifest, so a failure before its last line leaves the active
     version as it was.
     """
@@ -50,7 +55,7 @@ def publish(tables: dict[str, DataFrame], root: str, build_id: str, created: str
     for name in tables:
         if spark.read.parquet(f"{root}/build_id={build_id}/{name}").isEmpty():
             raise ValueError(f"{name} has no rows; version {build_id} is not activated")
-    line = spark.createDataFrame([(build_id, created, sorted(tables))], "build_id string, created string, tables array<string>")
+    line = spark.createDataFrame([(build_id, created, sorted(tables), historical_build)], "build_id string, created string, tables array<string>, historical_build string")
     line.write.mode("append").parquet(f"{root}/manifest")
 
 
@@ -66,6 +71,28 @@ def load_active(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/build_id={build}/{table}")
 
 
+def superseded(builds: DataFrame, keep: int = 1) -> DataFrame:
+    """(build_id) of the builds behind the ``keep`` newest whose history no kept build reuses.
+
+    builds: build_id, created, and historical_build (the build whose history it reads, null
+    for its own).  Rows are one for each build, so few.
+    """
+    order = Window.orderBy(F.desc("created"), F.desc("build_id"))
+    ranked = builds.withColumn("_n", F.row_number().over(order))
+    kept = ranked.where(F.col("_n") <= keep).select(F.explode(F.array("build_id", F.coalesce("historical_build", "build_id"))).alias("build_id"))
+    return ranked.where(F.col("_n") > keep).select("build_id").join(kept, "build_id", "left_anti")
+
+
+def remove_superseded(spark: SparkSession, root: str, *, keep: int = 1) -> list[str]:
+    """Delete the files of superseded builds, and return their ids; the manifest keeps their lines."""
+    gone = [r["build_id"] for r in superseded(spark.read.parquet(f"{root}/manifest"), keep).collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for build in gone:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/build_id={build}")
+        path.getFileSystem(conf).delete(path, True)
+    return sorted(gone)
+
+
 def results_page(results: DataFrame, cursor: int, limit: int, order: str = "ordinal") -> DataFrame:
     """Rows after ``cursor`` in order, at most 1 to 500 of them."""
     return results.orderBy(order).offset(max(0, cursor)).limit(min(500, max(1, limit)))

@@ -210,4 +210,129 @@ def test_plans(spark, sf):
 
     plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan("cohort_topk") and "CartesianProduct" not in plan("cohort_topk")
-    assert plan("horizon_weeks").count("lineitem.parquet") == 1
+    # The counts of weeks are written by one scan and read from there.
+    assert plan("horizon_weeks").count("lineitem.parquet") <= 1
+
+
+def test_saved_features_of_two_models(spark, tmp_path):
+    path = str(tmp_path / "both")
+    publish.save_features(spark.range(2), path, "m1")
+    publish.save_features(spark.range(3), path, "m2")
+    publish.save_features(spark.range(5), path, "m2")
+    assert (publish.load_features(spark, path, "m1").count(), publish.load_features(spark, path, "m2").count()) == (2, 5)
+
+
+def test_superseded_builds(spark, tmp_path):
+    root = str(tmp_path / "builds")
+    for build, created, history in (("b1", "2026-01-01", None), ("b2", "2026-02-01", None), ("b3", "2026-03-01", "b1")):
+        publish.publish({"upcoming": spark.range(2)}, root, build, created, historical_build=history)
+    assert publish.remove_superseded(spark, root) == ["b2"]
+    assert {p.name for p in (tmp_path / "builds").glob("build_id=*")} == {"build_id=b1", "build_id=b3"}
+    assert publish.load_active(spark, root, "upcoming").count() == 2
+
+
+def test_blank_rows_have_no_number(spark, tmp_path):
+    path = tmp_path / "new.csv"
+    path.write_text(CSV + ",,,,,,,,,\nOTSH-200-1002,SS27,OTSH,200,1002,PLAINS,FORMAL,Cotton,BLUE,PRO\n,,,,,,,,,\n,SS27,OTSH,200,1002,PLAINS,FORMAL,Cotton,BLUE,PRO\n,SS27,OTSH,,,,FORMAL,,,\n")
+    checked = validate.validated(catalogues.read_catalogue(spark, str(path), historical=False), historical=False).orderBy("ordinal").collect()
+    assert [(r["row_number"], [i["code"] for i in r["issues"]]) for r in checked] == [(2, []), (3, ["invalid_identifier"]), (4, ["invalid_identifier"])]
+
+
+LEGACY = "CC (SEG-1+2+3),SEGMENT1,SEGMENT2,SEGMENT3,CAT1,COLOUR NAME,CAT4,CAT-3,WORLD,MRP\n"
+
+
+def test_legacy_layouts(spark, tmp_path):
+    for name, header in (("old.csv", LEGACY), ("images.csv", LEGACY.replace("CC (SEG-1+2+3)", "image  id").replace("COLOUR NAME", "COLOR_NAME").replace("CAT-3", "CAT3"))):
+        (tmp_path / name).write_text(header + "OTSU51021001F2PC,OTSU,5102,1001,PLAINS,NAVY,100% Cotton,TAILORED,PRO,999\n")
+        rows = catalogues.read_catalogue(spark, str(tmp_path / name), historical=False)
+        assert rows.columns == [*catalogues.UPCOMING, "ordinal"]
+        got = validate.validated(rows, historical=False).first()
+        assert (got["product_id"], got["season"], got["category_type"], got["fabric"], got["colour"], got["issues"]) == ("OTSU-5102-1001", "SS27", "FORMAL", "Cotton – 100%", "NAVY", [])
+    old = ["CON", "SEASON", "ITEM TYPE", "SORT", "COLOR", "CAT1", "CAT3", "CAT4", "CAT5", "COLOR", "MAX", "PT", "RIL", "TOTAL ORDER", "DISPATCH", "SALE", "1ST DISPATCH", "AGEING", "SELL THR", "WKLY SELL THRU", "PROV"]
+    (tmp_path / "h.csv").write_text(",".join(old) + "\nOTSH-100-1001,AW25,OTSH,100,1001,PLAINS,CEREMONIAL,PVS,X,NAVY,1,2,3,500,500,350,,140,70%,0.035,P\n")
+    got = validate.validated(catalogues.read_catalogue(spark, str(tmp_path / "h.csv"), historical=True), historical=True).first()
+    assert (got["colour_code"], got["colour"], got["total_order_quantity"], got["sell_through"], got["issues"]) == ("1001", "NAVY", 500, 0.7, [])
+    (tmp_path / "odd.csv").write_text(LEGACY.replace("MRP", "OTHER") + "a,b,c,d,e,f,g,h,i,j\n")
+    with pytest.raises(validate.CatalogueError, match="product_id: not there"):
+        catalogues.read_catalogue(spark, str(tmp_path / "odd.csv"), historical=False)
+
+
+def test_nothing_left_is_an_error(spark):
+    from loomplan.operators import features
+
+    rows = spark.createDataFrame([("a", 0, "OTSH")], "id string, sales_qty int, item_type string")
+    with pytest.raises(features.NothingLeft):
+        features.exclude_zero_sales(rows)
+    with pytest.raises(features.NothingLeft):
+        features.with_history(rows, rows.withColumn("item_type", F.lit("OTTR")))
+    bad = spark.createDataFrame([("BAD", "FORMAL", "", 0)], "product_id string, category_type string, fabric string, ordinal long")
+    with pytest.raises(validate.CatalogueError, match="row 2.*invalid_identifier"):
+        validate.clean_rows(validate.validated(bad, historical=False), must=True)
+
+
+def test_cohort_larger_than_two_blocks_on_each_side(spark):
+    rng = np.random.default_rng(2)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 5)))
+    h, q = unit(70), unit(40)
+    h[50] = h[3]
+    right, left = items(spark, [(f"H{i}", "OTSH", "X", v) for i, v in enumerate(h)]), items(spark, [(f"Q{i}", "OTSH", "X", v) for i, v in enumerate(q)])
+    got = {(r["left_id"], r["retrieval_rank"]): r["right_id"] for r in similarity.cohort_topk(left, right, 6, block=13).collect()}
+    d = 1 - q @ h.T
+    d[:, 50] = d[:, 3]
+    assert got == {(f"Q{i}", k + 1): f"H{j}" for i in range(40) for k, j in enumerate(np.argsort(d[i], kind="stable")[:6])}
+
+
+def test_exact_percentiles(spark):
+    from loomplan.operators.quantiles import exact_percentiles
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=3001), "b": np.repeat([1.0, 2.0], [90, 11]), "c": np.array([5.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)], "k string, x double")
+    got = {r["k"]: r for r in exact_percentiles(rows, ["k"], "x", [0.1, 0.5, 0.9]).collect()}
+    assert set(got) == set(values) and all(got[k]["n"] == len(v) and got[k]["q"] == pytest.approx(np.percentile(v, [10, 50, 90]).tolist(), abs=1e-12) for k, v in values.items())
+
+
+def test_chosen_analogue_leads(spark):
+    h = synthetic(spark).withColumn("has_image", F.lit(True))
+    f = demand.fit_demand(h)
+    m = "array<struct<match_rank:int,historical_id:string,visual_score:double,hybrid_score:double>>"
+    published = spark.createDataFrame([("U", "OTSH", "FORMAL", [(1, "H1", 0.9, 0.9), (2, "H30", 0.7, 0.7), (3, "H2", 0.4, 0.4)])], f"id string, item_type string, category_type string, matches {m}")
+    settings = spark.createDataFrame([(1, 0.5, 0.7), (2, 0.8, 0.7), (3, 0.95, 0.7)], "setting_id int, minimum double, target double")
+    chosen = spark.createDataFrame([("U", "H30")], "id string, historical_id string")
+    decide = lambda picks: {r["setting_id"]: r for r in recommend.what_if(published, settings, f["history"].withColumn("has_image", F.lit(True)), f["priors"], f["ceilings"], f["tau"].scalar(), f["horizon"].scalar(), chosen=picks).collect()}
+    plain, picked = decide(None), decide(chosen)
+    assert [plain[i]["best_id"] for i in (1, 2, 3)] == ["H1", "H1", None] and [picked[i]["best_id"] for i in (1, 2, 3)] == ["H30", "H1", None]
+    # The forecast pools all that are eligible, whichever leads.
+    assert picked[1]["quantity"] == plain[1]["quantity"] > 0 and picked[1]["analogue_sales"] > plain[1]["analogue_sales"]
+    assert (plain[1]["match_confidence"], picked[1]["match_confidence"], plain[3]["match_confidence"], plain[3]["quantity"]) == ("High", "Medium", "Low", 0)
+    with pytest.raises(ValueError):
+        recommend.what_if(published, spark.range(2000).selectExpr("id as setting_id", "0.5 as minimum", "0.5 as target"), f["history"], f["priors"], f["ceilings"], F.lit(1.0), F.lit(1.0))
+
+
+def test_planner_state(spark):
+    log = spark.createDataFrame([
+        (1, 1, "override", "a", 50), (1, 2, "approve", "a", None), (1, 3, "approve", "b", None), (1, 4, "settings", None, None), (1, 5, "override", "a", 75), (1, 6, "approve", "c", None),
+        (1, 7, "choose", "c", None), (1, 8, "approve", "d", None), (2, 1, "approve", "x", None), (2, 2, "override", "x", 25), (2, 3, "approve", "y", None), (2, 4, "override", "z", 10), (2, 5, "reset", "z", None),
+    ], "plan_id int, seq int, kind string, id string, quantity int")
+    got = sorted(tuple(r) for r in recommend.planner_state(log).collect())
+    assert got == [(1, "a", 75, False), (1, "d", None, True), (2, "x", 25, False), (2, "y", None, True)]
+
+
+def test_appearance_rules():
+    """Trousers are judged by their region; a palette by the garment, not by the white around it."""
+    composed = np.full((240, 160, 3), (35, 60, 210), dtype=np.uint8)
+    composed[:70] = (210, 35, 35)
+    blue = np.full((240, 160, 3), (35, 60, 210), dtype=np.uint8)
+    look = lambda rgb, kind: images.palette(images.body_pixels(rgb, kind)).reshape(4, 4)
+    assert np.allclose(look(composed, " ottr "), look(blue, "OTTR"), atol=0.5)
+    assert abs(look(composed, "OTSH")[0] - look(blue, "OTTR")[0]).max() > 50
+    framed = np.full((160, 120, 3), 255, dtype=np.uint8)
+    framed[30:130, 25:95] = (210, 35, 35)
+    red = look(framed, None)
+    assert red[0, 3] > 0.99 and np.allclose(red[0, :3], images.lab_of(np.array([[210, 35, 35]]))[0], atol=0.1)
+    assert images.region(np.zeros((100, 100, 3)), "OTTR").shape[:2] == (52, 68) and images.region(np.zeros((2, 2, 3)), "OTTR").shape[:2] == (1, 2)
+    many = np.arange(3 * 11_999).reshape(-1, 3) % 256
+    assert abs(images.palette(many)[3::4].sum() - 1) < 1e-6 and images.palette(np.zeros((0, 3))).tolist() == [0.0] * 16
+    t = images.texture(np.tile(np.array([0, 0, 255, 255], dtype=np.uint8)[None, :, None], (64, 16, 3)))
+    assert len(t) == 16 and abs(np.linalg.norm(t) - 1) < 1e-6 and t[:8].argmax() == 0
+    assert images.working(np.zeros((1000, 500, 3), dtype=np.uint8)).shape == (images.WORKING_SIDE, images.WORKING_SIDE // 2, 3)
