@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,19 +147,23 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 def _packer(capacity: int, r: int):
     """What packs one group in round ``r``."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = pdf["length"].to_numpy()
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = t["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         count, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
         full = np.bincount(bins, weights=lengths, minlength=count) == capacity
-        g = int(pdf["_group"].iloc[0])
-        return pdf.drop(columns="_group").assign(sequence_id=(r << 58) + (g << 24) + bins, offset=offsets, round=r, group_bound=bound, closed=full[bins] | (count <= bound))
+        g, n = t["_group"][0].as_py(), len(t)
+        new = {"sequence_id": (r << 58) + (g << 24) + bins, "offset": offsets, "round": np.full(n, r, dtype=np.int32), "group_bound": np.full(n, bound, dtype=np.int64), "closed": full[bins] | (count <= bound)}
+        t = t.drop_columns(["_group"])
+        for name, values in new.items():
+            t = t.append_column(name, pa.array(values))
+        return t
 
     return pack
 
 
-def bound_certified_pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def bound_certified_pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS, key: str | None = None) -> DataFrame:
     """Give every piece a sequence_id and an offset in it.
 
     Pieces of the whole capacity are sequences by themselves and are not moved.
@@ -168,11 +171,12 @@ def bound_certified_pack(pieces: DataFrame, *, capacity: int = CAPACITY, group:
     ``offset``, ``round`` and ``group_bound`` (what certifies the group's count;
     null for whole pieces).  An empty table gives an empty result.  ``pieces``
     needs lengths of 1 to ``capacity``; other columns pass through unchanged.
-    Repeated rows are packed as often as they stand there.
+    Repeated rows are packed as often as they stand there.  ``key``: a column that tells
+    rows apart, by which they are dealt; otherwise (doc_id, piece).
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "round", "group_bound")]
     pieces = pieces.select(*names)
-    key = F.xxhash64("doc_id", "piece")
+    dealt_by = F.xxhash64(key) if key else F.xxhash64("doc_id", "piece")
     whole = pieces.where(F.col("length") >= capacity).select(
         *names, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("round"), F.lit(None).cast("long").alias("group_bound"))
@@ -185,8 +189,8 @@ def bound_certified_pack(pieces: DataFrame, *, capacity: int = CAPACITY, group:
             break
         groups = -(-left // group)
 
-        dealt = open_.withColumn("_group", F.pmod(F.xxhash64(key, F.lit(r)), F.lit(groups)))
-        packed = cut(dealt.groupBy("_group").applyInPandas(_packer(capacity, r), schema), f"pack-{r}")
+        dealt = open_.withColumn("_group", F.pmod(F.xxhash64(dealt_by, F.lit(r)), F.lit(groups)))
+        packed = cut(dealt.groupBy("_group").applyInArrow(_packer(capacity, r), schema), f"pack-{r}")
         if kept is not None and packed.select("sequence_id").distinct().count() >= before:
             break  # the last round's sequences for these pieces are at least as few
         done.append(packed.where("closed").drop("closed"))
@@ -208,8 +212,10 @@ def best_fit_packing(docs: DataFrame, *, path: str | None = None, capacity: int
     cut into pieces without loss.  Rows that repeat are packed as often as they
     stand there; ties in length keep doc_id order.  Extra columns are ignored.
     """
-    pieces = cut(tokenize_pieces(docs, path=path or bpe.vocabulary(), capacity=capacity, end_id=end_id), "pieces")
-    return bound_certified_pack(pieces, capacity=capacity, group=group, rounds=rounds)
+    pieces = tokenize_pieces(docs, path=path or bpe.vocabulary(), capacity=capacity, end_id=end_id)
+    # Numbered as they are written, so that rows of one id are dealt like others.
+    pieces = cut(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return bound_certified_pack(pieces, capacity=capacity, group=group, rounds=rounds, key="_row").drop("_row")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomplan.llm import bpe
-from loomplan.llm.common import table
+from loomplan.llm.common import cut, table
 from loomplan.llm.packing import CAPACITY, best_fit_decreasing, tokenize_pieces
 
-#: Open pieces in a group on average; with 4 bytes an id a group stays under about 20 MB.
+#: Open pieces in a group on average, at most one for each document; with 8 KB of ids each a group stays under 20 MB.
 GROUP = 2_500
+NAMES = ["sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "pieces", "position_ids"]
+KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 SEQUENCES = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>, position_ids binary"
 
 
@@ -31,34 +35,63 @@ def packed_sequences(docs: DataFrame, *, path: str | None = None, capacity: int
     ``position_ids``: positions that restart with every segment.  ``doc_ids`` and
     ``pieces`` name the segments, so every document can be put together again.
 
-    Pieces are dealt by a hash of (doc_id, piece) to groups of bounded size, each
-    packed in one task by best-fit decreasing.  Null and empty texts are the end id alone; repeated
-    rows are packed as often as they stand there; an empty table gives no rows.
+    Pieces of the whole capacity are sequences by themselves and aren't moved; only a
+    document's first piece can be shorter, so what is dealt to groups, by row, is at most
+    one piece a document, however long it is and whatever its id.  Each group is packed
+    in one task by best-fit decreasing.  Null and empty texts are the end id alone; rows
+    that repeat, also those of one id or of none, are packed as often as they stand
+    there; equal lengths keep no order; an empty table gives no rows.  Extra columns are
+    ignored.
     """
     groups = max(1, -(-docs.count() // group))
-    pieces = tokenize_pieces(docs, path=path or bpe.vocabulary(), capacity=capacity, end_id=end_id, with_ids=True)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
-    dealt = pieces.withColumn("_group", salt)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        lengths = pdf["length"].to_numpy()
-        bins, offsets = best_fit_decreasing(lengths, capacity)
+    # Written once for both ways; ids that fit take two bytes.
+    pieces = cut(_narrowed(tokenize_pieces(docs, path=path or bpe.vocabulary(), capacity=capacity, end_id=end_id, with_ids=True)), "token-pieces")
+    pad = int(pad_id).to_bytes(4, "little")
+
+    def sequence(number: int, ids: list[bytes], doc_ids: list, pieces: list[int]) -> tuple:
+        rows = [_widened(x) for x in ids]
+        cu = [0, *np.cumsum([len(x) // 4 for x in rows]).tolist()]
+        return number, cu[-1], b"".join(rows) + pad * (capacity - cu[-1]), cu, doc_ids, pieces, position_ids(cu, capacity).tobytes()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                number, doc_id, piece, ids = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                rows = [sequence(-1 - n, [x], [d], [p]) for n, d, p, x in zip(number, doc_id, piece, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
+
+    whole = pieces.where(F.col("length") >= capacity).select(F.monotonically_increasing_id().alias("number"), "doc_id", "piece", "ids").mapInArrow(alone, SEQUENCES)
+    open_ = pieces.where(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+
+    def pack(t: pa.Table) -> pa.Table:
+        bins, offsets = best_fit_decreasing(t["length"].to_numpy(), capacity)
         order = np.lexsort((offsets, bins))
-        ids, docs_, nth = pdf["ids"].to_numpy()[order], pdf["doc_id"].to_numpy()[order], pdf["piece"].to_numpy()[order]
-        lengths, bins = lengths[order], bins[order]
-        starts = np.flatnonzero(np.diff(bins, prepend=-1))
-        ends = np.append(starts[1:], len(bins))
-        g = int(pdf["_group"].iloc[0])
-        rows = []
-        for b, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-            cu = [0, *np.cumsum(lengths[s:e]).tolist()]
-            row = b"".join(ids[s:e])
-            pad = int(pad_id).to_bytes(4, "little") * (capacity - cu[-1])
-            rows.append(((g << 24) + b, cu[-1], row + pad, cu, docs_[s:e].tolist(), nth[s:e].tolist(), position_ids(cu, capacity).tobytes()))
-        return pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "pieces", "position_ids"])
-
-    return dealt.groupBy("_group").applyInPandas(pack, SEQUENCES)
+        ids, doc_ids, nth = (t[c].take(pa.array(order)).to_pylist() for c in ("ids", "doc_id", "piece"))
+        starts = np.flatnonzero(np.diff(bins[order], prepend=-1)).tolist()
+        g = t["_group"][0].as_py() << 24
+        rows = [sequence(g + b, ids[s:e], doc_ids[s:e], nth[s:e]) for b, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+    return whole.unionByName(open_.groupBy("_group").applyInArrow(pack, SEQUENCES))
+
+
+def _narrowed(pieces: DataFrame) -> DataFrame:
+    """``ids`` with two bytes an id and a leading byte 2 where all of a piece's ids fit, otherwise four and 4."""
+    names, at = pieces.columns, pieces.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(at):
+                ids = np.frombuffer(x.as_py(), dtype="<u4")
+                out.append(b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.binary()), *batch.columns[at + 1 :]], names=names)
+
+    return pieces.mapInArrow(run, pieces.schema)
+
+
+def _widened(ids: bytes) -> bytes:
+    return np.frombuffer(ids, dtype="<u2", offset=1).astype("<u4").tobytes() if ids[0] == 2 else ids[1:]
 
 
 def write_packed(sequences: DataFrame, path: str) -> None:
