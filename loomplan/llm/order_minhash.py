@@ -1,7 +1,9 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-The letters are words, cut at ASCII white space; a k-mer is a word with the one
-that follows.  A repeated k-mer counts by its occurrence number, so the
+The letters are words, cut at ASCII white space; runs of more than ``LONGEST`` code points
+without any, as in scripts without spaces, are cut further by what they hold: after each
+character beyond ASCII, after certain ASCII ones, and else after ``LONGEST``, so that an edit
+moves no cut far from it.  A k-mer is a word with the one that follows.  A repeated k-mer counts by its occurrence number, so the
 multiset, not the set, is sampled.  One hash of (k-mer, occurrence) deals them to
 ``BINS`` bins; each bin keeps its ``TUPLE`` smallest, puts them back in text
 order and hashes the tuple.  Moved text thus changes a fingerprint where a plain
@@ -16,14 +18,20 @@ from pyspark.sql.window import Window
 
 from loomplan.llm.common import table
 
-#: 2**6 bins; the bin is the top of a 63-bit value: 39 bits of hash, 24 of position.
-BIN_BITS, PLACE_BITS = 6, 24
+#: 2**6 bins; the bin is the top of a 63-bit value: 35 bits of hash, 28 of position.  A
+#: text has fewer words than 2**28, as an array of more longs isn't possible.
+BIN_BITS, PLACE_BITS = 6, 28
+#: Code points of a word that is cut no further, and where longer ones are.
+LONGEST = 32
+CUTS = r"(?<=[^\x00-\x7F])|(?<=[aeiouAEIOU0-3,;:(){}\[\]<>/+=_.-])|(?<=\G.{32})"
 #: Documents in a bucket of neighbouring ids on average, and the most buckets.
 BUCKET, MOST_BUCKETS = 512, 1 << 16
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+    words = F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+    parts = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(F.filter(F.split(w, CUTS), lambda p: p != ""))))
+    return F.when(F.exists(words, lambda w: F.length(w) > LONGEST), parts).otherwise(words)
 
 
 def _packed(code: Column, place: Column) -> Column:
@@ -46,7 +54,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def occurrence(x: Column, i: Column) -> Column:
         """How many equal k-mers stand before place i of the sorted array: doubling steps back."""
-        steps = F.array(*[F.lit(1 << b) for b in range(16, -1, -1)])
+        steps = F.array(*[F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1)])
         return F.aggregate(steps, F.lit(1), lambda n, step: F.when((i - n - step >= 0) & (kmer(F.get(k, i - n - step)) == kmer(x)), n + step).otherwise(n))
 
     repeated = lambda x, i: (i > 0) & (kmer(F.get(k, i - 1)) == kmer(x))
@@ -116,8 +124,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     many (or all) of the next document by doc_id.  Null text counts as empty; two
     texts without words have equal, empty fingerprints and likeness 1.  Rows of
     one doc_id follow each other in order of text; a lone document is its own
-    next.  An empty table gives no rows; extra columns are ignored.  Positions
-    beyond 2**24 words count as one place.
+    next.  An empty table gives no rows; extra columns are ignored, also those named as
+    results.  Equal texts have equal fingerprints, and ties of hashes go by position.
+    Very long texts are arrays of their words, of any number that a row can hold.
     """
     own = with_signature(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "text", "sig")
     pairs = with_next(own, "doc_id", ["text", "sig"])
