@@ -1,15 +1,18 @@
-"""Licence notices inside documents, by Dice coefficient over word bigrams.
+"""Licence texts and notices inside documents, by Dice coefficient over word bigrams.
 
 Texts and templates are normalised alike: lower-case ASCII letters, punctuation as
-white space.  A match is a span of words whose set of bigrams has a Dice
-coefficient of ``THRESHOLD`` or more with a template's.  A span of a bigrams can
-reach a threshold t with a template of b only if t / (2 - t) * b <= a <= (2 - t) / t * b,
-and only if it holds at least t / 2 * (a + b) of the template's bigrams; templates
-that fail the bounds in every span of a text are pruned before any coefficient.
+white space.  A match is a span of words whose bigrams have a Dice coefficient of
+``THRESHOLD`` or more with a template's: twice the shared bigrams over those of both, a
+repeated bigram counted as often as both have it.  A span of a bigrams can reach a
+threshold t with a template of b only if t / (2 - t) * b <= a <= (2 - t) / t * b, and only
+if it holds at least t / 2 * (a + b) of the template's bigrams.  An index of bigrams counts
+what a text holds of each template, and templates under the bound are pruned before any
+coefficient, as are starts with too few of them within the longest span.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,13 @@ MATCHES = "doc_id long, license string, first_word long, n_words long, dice doub
 #: Punctuation becomes white space, so that it neither joins nor makes words.
 NORMAL = bytes(32 if b < 128 and not chr(b).isalnum() and not chr(b).isspace() else b for b in range(256))
 
-#: Short notices and opening paragraphs of public licences.
+#: The warranty paragraphs that whole licences end with.
+AS_IS_MIT = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+AS_IS_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+AS_IS_ISC = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
+#: Notices, opening paragraphs and whole short licences; ``read_templates`` reads others from files.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -38,51 +47,96 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause full": f"{BSD_2} {AS_IS_BSD}",
+    "BSD-3-Clause full": f"{BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {AS_IS_BSD}",
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. ' + AS_IS_MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <https://unlicense.org>",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
+TEMPLATES["MIT full"] = f"{TEMPLATES['MIT']} {AS_IS_MIT}"
+TEMPLATES["ISC full"] = f"{TEMPLATES['ISC']} {AS_IS_ISC}"
+
+
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Licence texts of a folder, each file's name without its suffix as the licence; at most 2,000 files of 1 MB."""
+    files = spark.read.format("binaryFile").load(folder).where("length <= 1048576").select("path", "content").limit(2_001).collect()
+    if len(files) > 2_000:
+        raise ValueError("more than 2,000 templates")
+    return {r["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]: bytes(r["content"]).decode("utf-8", "replace") for r in files}
 
 
 def normalised(text: str | None) -> bytes:
     return lowered(text).translate(NORMAL)
 
 
-def spans(where: np.ndarray, codes: np.ndarray, size: int, threshold: float) -> list[tuple[int, int, float]]:
+def spans(where: np.ndarray, codes: np.ndarray, size: int, threshold: float, times: dict[int, int] | None = None) -> list[tuple[int, int, float]]:
     """Disjoint (first bigram, last bigram, Dice) of spans that reach the threshold, best first.
 
-    where, codes: places and codes of a text's bigrams that the template of ``size`` distinct
-    bigrams has too.  The best span starts and ends at such a place.
+    where, codes: places and codes of a text's bigrams that the template of ``size`` bigrams
+    has too; times: how often it has each, once if not said.  The best span starts and
+    ends at such a place.
     """
     low, high = threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
+    # A span shares low bigrams or more, all within the longest span from its start.
+    reach = np.searchsorted(where, where + high, side="left")
     found = []
-    for i in range(len(where)):
-        seen: set[int] = set()
+    for i in np.flatnonzero(reach - np.arange(len(where)) >= low - 1e-9).tolist():
+        seen: dict[int, int] = {}
+        shared = 0
         for j in range(i, len(where)):
             length = int(where[j] - where[i]) + 1
             if length > high:
                 break
-            seen.add(int(codes[j]))
-            dice = 2 * len(seen) / (length + size)
+            code = int(codes[j])
+            n = seen[code] = seen.get(code, 0) + 1
+            shared += n <= (times[code] if times else 1)
+            dice = 2 * shared / (length + size)
             if length >= low and dice >= threshold:
                 found.append((-dice, int(where[i]), int(where[j])))
+    return _disjoint(sorted(found))
+
+
+def _disjoint(found: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
+    """The best spans that don't overlap a better one, in order of place."""
+    starts: list[int] = []
     out: list[tuple[int, int, float]] = []
-    for minus, a, b in sorted(found):
-        if all(b < x or a > y for x, y, _ in out):
-            out.append((a, b, -minus))
-    return sorted(out)
+    for minus, a, b in found:
+        at = bisect.bisect_right(starts, b)
+        # Kept spans are disjoint and in order: only the last that starts by b can overlap.
+        if not at or out[at - 1][1] < a:
+            starts.insert(at, a)
+            out.insert(at, (a, b, -minus))
+    return out
 
 
 class Templates:
-    """Sorted bigram codes of all templates, and each template's own."""
+    """Bigrams of all templates, and for each of them the templates that have it."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        self.own: list[tuple[str, np.ndarray]] = []
+        self.names: list[str] = []
+        codes_of, times_of = [], []
         for name, text in sorted(texts.items()):
             codes, counts = word_codes([normalised(text)])
             if len(codes) > 1:
-                self.own.append((name, np.unique(shingle_codes(codes, counts, 2)[0])))
-        self.all = np.unique(np.concatenate([c for _, c in self.own])) if self.own else np.zeros(0, dtype=U64)
+                own, n = np.unique(shingle_codes(codes, counts, 2)[0], return_counts=True)
+                self.names.append(name)
+                codes_of.append(own)
+                times_of.append(n)
+        self.all, place = np.unique(np.concatenate(codes_of), return_inverse=True) if codes_of else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+        self.sizes = np.array([int(n.sum()) for n in times_of])
         self.gate = np.zeros(1 << 16, dtype=bool)
         self.gate[self.all >> U64(48)] = True
-        self.has = np.array([np.isin(self.all, c) for _, c in self.own]).reshape(len(self.own), len(self.all))
+        of = np.repeat(np.arange(len(codes_of)), [len(c) for c in codes_of])
+        #: Place in ``all`` to how often, by template; and the templates of each place, end to end.
+        self.times = [dict(zip(place[of == k].tolist(), times_of[k].tolist())) for k in range(len(codes_of))]
+        order = np.argsort(place, kind="stable")
+        self.templates, self.starts = of[order], np.searchsorted(place[order], np.arange(len(self.all) + 1))
+
+    def likely(self, which: np.ndarray, threshold: float) -> list[int]:
+        """Templates of which a text has enough bigrams, at the places ``which`` of ``all``."""
+        n = self.starts[which + 1] - self.starts[which]
+        at = np.repeat(self.starts[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        held = np.bincount(self.templates[at], minlength=len(self.sizes))
+        return np.flatnonzero(held >= threshold / (2 - threshold) * self.sizes - 1e-9).tolist()
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,10 +145,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     ``docs``: doc_id, text.  first_word counts the words of the normalised text from
     0.  Spans of one template don't overlap; the better one stays, then the
     earlier.  Where a span matches several templates, there is a row for each.
-    Dice counts a span's bigrams by place and the template's distinct ones, so
-    repeated bigrams lower it.  Null, empty and one-word texts match nothing;
-    repeated rows give repeated matches; extra columns are ignored.  A template
-    of fewer than two words never matches.
+    Null, empty and one-word texts match nothing; repeated rows give repeated matches,
+    and null ids stay null; equal coefficients go to the earlier, shorter span.  Very long
+    texts are searched whole, in time that grows with the bigrams they share.  Extra
+    columns are ignored.  A template of fewer than two words never matches.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
@@ -120,12 +174,11 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
                         continue
                     own = text == i
                     where, which = likely[own] - (ends[i] - sizes[i]), place[own]
-                    for (name, template), has in zip(known.own, known.has):
-                        mine = has[which]
-                        if mine.sum() < threshold / (2 - threshold) * len(template):
-                            continue
-                        for first, last, dice in spans(where[mine], which[mine], len(template), threshold):
-                            rows.append((ids[a + i], name, first, last - first + 2, dice))
+                    for k in known.likely(which, threshold):
+                        times = known.times[k]
+                        mine = np.isin(which, np.fromiter(times, dtype=np.int64))
+                        for first, last, dice in spans(where[mine], which[mine], int(known.sizes[k]), threshold, times):
+                            rows.append((ids[a + i], known.names[k], first, last - first + 2, dice))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
