@@ -20,22 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This session's folder inside the one that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) is a temporary one set.
+    Only a local session without one (tests, a laptop) gets a temporary one; executors of
+    a cluster couldn't see it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-loomplan-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"{found.rstrip('/')}/loomplan-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
     The files outlive a lost executor, so later jobs never recompute what stands
-    above the cut.
+    above the cut.  All of a session's are in one folder, which ``drop_cuts`` deletes.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
@@ -43,6 +46,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete what this session's operators wrote for themselves; their results must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str | object, modulus: int, remainder: int):
     """Column: crc32 of the id as text falls on ``remainder``; a null id counts as ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -193,12 +193,15 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = ROUNDS, pairs: int = PAIR
 def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS) -> Model:
     """A model of ``labels.quality`` (0 or 1; other rows are left out) over the texts of ``docs``.
 
-    Learns from at most ``most_rows`` labelled rows, those of least hash; they and
-    their texts' features are all that reaches the driver.
+    Learns from at most ``most_rows`` labelled rows, those of least hash, and from one
+    text for each, the least where an id has several; they and their texts' features are
+    all that reaches the driver, so the bound holds for repeated rows of either table.
+    Very long texts have features as any other.  Extra columns are ignored.
     """
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id", "y"), "doc_id").limit(most_rows)
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(cut(rows, "labelled")), "doc_id")
+    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(cut(rows.distinct(), "labelled")), "doc_id")
+    picked = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).limit(most_rows)
     got = with_labels(picked)
     found = got.orderBy("doc_id", "y").toArrow()
     if not found.num_rows:

@@ -142,3 +142,34 @@ def test_edit_counts_query(spark, sf):
     blank = spark.createDataFrame([(1, None, None), (2, "", [(None, None, None)]), (None, "a b", [(0, 1, "c")])], f"doc_id long, text string, edits {edit_counts.EDITS}")
     assert sorted((r["edited_chars"], r["edited_tokens"]) for r in edit_counts.edit_aware_counts(blank).collect()) == [(0, 0), (0, 0), (3, 2)]
     assert edit_counts.edit_aware_counts(blank.limit(0)).count() == 0
+
+
+def test_kept_state_spares_the_tokenizer(spark, sf):
+    """A second call reads the leaves that its edits touch, not the text."""
+    e = bpe.encoder(bpe.vocabulary())
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice(["word", "and", "other", "things,"]) for _ in range(4000))) for i in range(3)] + [(7, "ab1" * 20_000), (8, "漢字、" * 9000), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    state = edit_counts.count_tokens(docs)
+    now = {i: t or "" for i, t in texts}
+    for turn in range(2):
+        edited = edit_counts.apply_edits(state.withColumn("edits", F.expr(f"cast(array(struct(500 as start, 503 as stop, 'new{turn} ' as text)) as {edit_counts.EDITS})")))
+        rows = edited.collect()
+        for r in rows:
+            t = now[r["doc_id"]]
+            t = now[r["doc_id"]] = t[:500] + f"new{turn} " + t[503:]
+            assert (r["text"], r["n_chars"], r["n_tokens"]) == (t, len(t), e.count(t))
+            assert sum(r["state"]["chars"]) == len(t) and sum(r["state"]["tokens"]) == e.count(t)
+            assert r["encoded_chars"] <= 2000
+        state = spark.createDataFrame([(r["doc_id"], r["text"], r["state"]) for r in rows], f"doc_id long, text string, state {edit_counts.STATE}")
+
+
+def test_packing_and_output_with_one_id_and_long_texts(spark):
+    """Repeated and null ids are dealt like others; a long text's whole pieces aren't in a group."""
+    rows = [(5, "the and of " * 4)] * 40 + [(None, "x y z")] * 20 + [(2**53 + 1, "a " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    packed = packing.best_fit_packing(docs, group=10).collect()
+    assert len(packed) == 60 + 15 and {r["doc_id"] for r in packed} == {5, None, 2**53 + 1}
+    out = token_output.packed_sequences(docs, group=10)
+    assert sorted(((r["doc_id"] or 0, r["piece"]) for r in token_output.unpack(out).collect())) == sorted([(5, 0)] * 40 + [(0, 0)] * 20 + [(2**53 + 1, k) for k in range(15)])
+    assert len({r["sequence_id"] for r in out.collect()}) == out.count()

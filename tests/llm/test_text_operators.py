@@ -435,3 +435,106 @@ def test_long_words_are_told_apart():
     x, y = "a" * 4096, "b" * 4096
     codes, _ = word_codes([(x + y).encode(), (y + x).encode()])
     assert codes[0] != codes[1]
+
+
+def test_line_dedup_when_hashes_are_joined(spark):
+    rng = random.Random(16)
+    shared = [words(rng, 12) for _ in range(4)]
+    rows = [(i, "\n".join([rng.choice(shared), words(rng, 15)])) for i in range(40)] + [(None, shared[0])]
+    got = line_dedup.line_dedup(docs_of(spark, rows), bits=512).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    whole = line_dedup.line_dedup(docs_of(spark, rows)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole), key=str)
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == deduped(rows[:-1])
+
+
+def test_line_filters_do_not_fill(spark):
+    """Far more lines than a fixed filter would have bits for: few are suspected, over several ranges."""
+    rng = random.Random(17)
+    shared = [words(rng, 12) for _ in range(20)]
+    rows = [(i, "\n".join([f"line {i} {j} " + "x" * 40 for j in range(400)] + [shared[i % 20]])) for i in range(200)]
+    for docs_a_range in (25, 20_000):
+        n = line_dedup.suspected_hashes(docs_of(spark, rows), docs_a_range=docs_a_range).count()
+        assert 20 <= n <= 20 + 0.03 * 80_000
+
+
+def test_fingerprint_sketch_against_brute_force(spark):
+    """Signatures from plain words and hashes, occurrences counted one by one."""
+    import xxhash
+
+    def chain(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=v < 0), seed)
+        return seed
+
+    def sketch(text):
+        w = (text or "").split()
+        bits = order_minhash.PLACE_BITS
+        seen, codes = Counter(), []
+        for i, x in enumerate(w):
+            kmer = chain(x, w[i + 1] if i + 1 < len(w) else "") >> (bits + 1)
+            n = seen[kmer]
+            seen[kmer] += 1
+            signed = chain(kmer, n) if n else None
+            if n:
+                # Spark hashes the long and then the int of the occurrence.
+                h = xxhash.xxh64_intdigest(kmer.to_bytes(8, "little"), 42)
+                signed = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), h)
+                kmer = signed >> (bits + 1)
+            codes.append((kmer, i))
+        out = []
+        top = 63 - bits - order_minhash.BIN_BITS
+        for b in sorted({k >> top for k, _ in codes}):
+            two = sorted(sorted(c for c in codes if c[0] >> top == b)[:2], key=lambda c: c[1])
+            out.append(b << 16 | chain(*[k for k, _ in two]) >> 48)
+        return out
+
+    rng = random.Random(18)
+    texts = [words(rng, n, 30) for n in (0, 1, 2, 5, 40, 400)] + ["a b " * 700, "x " * 90]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["sig"] for r in order_minhash.with_signature(df, "text", "sig").collect()}
+    assert all(got[i] == sketch(t) for i, t in enumerate(texts))
+    rows = docs_of(spark, [(i, t) for i, t in enumerate(texts * 2)]).withColumn("fingerprint", F.lit("clash"))
+    prints = {r["doc_id"]: r["fingerprint"] for r in order_minhash.fingerprints(rows).collect()}
+    assert all(prints[i] == prints[i + len(texts)] for i in range(len(texts)))
+    assert order_minhash.fingerprints(docs_of(spark, [])).count() == 0
+
+
+def test_fingerprints_of_texts_without_spaces(spark):
+    rng = random.Random(19)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    code = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows = [(i, han(2000)) for i in range(6)] + [(10 + i, code(2000)) for i in range(6)] + [(20, "x" * 5000)]
+    got = order_minhash.fingerprints(docs_of(spark, rows)).collect()
+    # Both of a bin stay with (0.75 / 1.25) squared, 0.36.
+    assert all(r["near_edited"] > 0.2 > 0.1 > r["near_next"] for r in got if r["doc_id"] not in (5, 15, 20))
+    # An insertion near the start moves few cuts.
+    base = code(3000)
+    df = spark.createDataFrame([(1, base), (2, base[:50] + "inserted" + base[50:])], "doc_id long, text string")
+    a, b = (r["sig"] for r in order_minhash.with_signature(df, "text", "sig").orderBy("doc_id").collect())
+    assert len(set(a) & set(b)) > 0.7 * len(a)
+
+
+def test_training_rows_stay_bounded(spark):
+    rows = docs_of(spark, [(i % 4, f"text {i}") for i in range(400)])
+    labels = spark.createDataFrame([(i % 4, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    plain = quality_gam.fit
+    try:
+        quality_gam.fit = lambda x, y, **k: seen.append(len(y)) or plain(x, y, **k)
+        quality_gam.train(rows, labels, most_rows=2)
+        quality_gam.train(rows, labels)
+    finally:
+        quality_gam.fit = plain
+    assert seen[0] <= 2 and seen[1] <= 8
+
+
+def test_whole_licenses_and_repeated_bigrams(spark):
+    rng = random.Random(20)
+    full = license_scan.TEMPLATES["BSD-3-Clause full"]
+    rows = [(1, f"{words(rng, 400)} {full} {words(rng, 400)}"), (2, full.replace("COPYRIGHT HOLDER", "REGENTS")), (None, "the software " * 5000)]
+    got = {(r["doc_id"], r["license"]): r for r in license_scan.license_matches(docs_of(spark, rows)).collect()}
+    assert got[1, "BSD-3-Clause full"]["dice"] > 0.99 and got[1, "BSD-3-Clause full"]["first_word"] == 400
+    assert (2, "BSD-3-Clause full") in got and not any(i is None for i, _ in got)
+    same = license_scan.license_matches(docs_of(spark, [(1, "one two one two one two")]), {"echo": "one two one two one two"}).first()
+    assert same["dice"] == 1
