@@ -199,7 +199,8 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
     lists = cut(lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost")), "lost-lines")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    joined = docs.select(*names).join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")), "left")
+    # Merged at every size, as the lists of a large table are no small side.
+    joined = docs.select(*names).join(lists.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")), "left")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
