@@ -8,8 +8,8 @@ sets are much alike), is compared by brute force, large ones in pairs of blocks.
 Runs come in rounds of ``RUNS`` and are repeated until the recall reaches the target.
 Each round estimates it on the data: from how many pairs that earlier rounds didn't hold
 one run of the round has, and how many two have, Chao's estimator gives how many no run
-has.  No two runs of the first two rounds share a coordinate, so they are independent:
-at the threshold of 0.8 a pair stays together for d splits with 0.8**d, and sixteen runs
+has.  No two runs of the first round share a coordinate, so they are independent: at
+the threshold of 0.8 a pair stays together for d splits with 0.8**d, and sixteen runs
 miss 0.02 % of such pairs at the four splits that the largest buckets take, 1e-5 at
 three and less at fewer.  Later rounds take the coordinates in another order.
 
