@@ -252,22 +252,24 @@ def word_code(word: bytes) -> int:
 
 
 def contexts(texts: DataFrame, units: Units, class_of: np.ndarray, k: int) -> DataFrame:
-    """(code, context, n): the classes before and after each word that is no unit, as before * k + after."""
+    """(code, stratum, context, n): the classes before and after each word that is no unit, as before * k + after."""
     sent = texts.sparkSession.sparkContext.broadcast((units.ids, units.unit, units.n_units, class_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, unit, n_units, classes = sent.value
         look, first_stratum = Lookup(ids_of), n_units - STRATA
         codes_of = np.fromiter(map(word_code, ids_of), dtype=np.int64, count=len(ids_of))
+        strata_of = np.fromiter(map(stratum, ids_of), dtype=np.int32, count=len(ids_of))
         held: list[np.ndarray] = []
 
-        def batch_of(codes: np.ndarray, around: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(around.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "context", "n"])
+        def batch_of(codes: np.ndarray, strata: np.ndarray, around: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(strata.astype(np.int32)), pa.array(around.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "stratum", "context", "n"])
 
         def known() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return batch_of(codes_of[keys // (k * k)], keys % (k * k), n)
+            own = keys // (k * k)
+            return batch_of(codes_of[own], strata_of[own], keys % (k * k), n)
 
         for batch in batches:
             raw = [lowered(t.as_py()) for t in batch.column(0)]
@@ -282,13 +284,13 @@ def contexts(texts: DataFrame, units: Units, class_of: np.ndarray, k: int) -> Da
                 rare = np.flatnonzero(tail & (ids < 0))
                 if len(rare):
                     codes = np.fromiter((word_code(words[i]) for i in rare.tolist()), dtype=np.int64, count=len(rare))
-                    yield batch_of(codes, around[rare], np.ones(len(rare)))
+                    yield batch_of(codes, -1 - ids[rare], around[rare], np.ones(len(rare)))
                 if sum(map(len, held)) > 4_000_000:
                     yield known()
         if held:
             yield known()
 
-    return texts.select("text").mapInArrow(run, "code long, context int, n long")
+    return texts.select("text").mapInArrow(run, "code long, stratum int, context int, n long")
 
 
 def tail_classes(found: DataFrame, step: np.ndarray, column: np.ndarray, prior: np.ndarray) -> DataFrame:
@@ -415,7 +417,7 @@ def classed_texts(rows: DataFrame, v: Vocabulary, rest: DataFrame, total: int, d
     rare, seen = F.col("place").isNotNull(), F.col("c").isNotNull()
     own = F.coalesce(F.col("class"), F.get(F.lit([int(x) for x in v.stratum_class]), F.col("stratum")))
     emission = F.when(seen, F.log10(F.greatest(F.col("c") - F.lit(v.discount), F.lit(1e-9))) - of(v.log_size, own)).otherwise(of(v.unseen, own))
-    terms = scored.join(rest.select("word", F.col("n").alias("c"), "class"), "word", "left").select(
+    terms = scored.join(rest.select("word", F.col("n").alias("c"), "class").hint("merge"), "word", "left").select(
         "row", "doc_id", "learns", "asked", "n_tokens", F.when(rare, seen.cast("long")).otherwise(F.col("n_known")).alias("n_known"),
         F.when(rare, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(space))).otherwise(F.col("base")).alias("base"),
         F.when(rare, emission).otherwise(F.col("emission")).alias("emission"), "classes",
@@ -484,10 +486,9 @@ def fit_and_score(docs: DataFrame, train: DataFrame | Column, *, classes: int =
     prior = np.log10(kinds / kinds.sum(axis=1, keepdims=True))
     tail = counts.where((F.col("n") < max(1.0, unit_share * total)) & (F.col("word") != F.lit(END)))
     tail = cut(with_codes(tail), "tail")
-    found = contexts(texts, units, class_of, k).groupBy("code", "context").agg(F.sum("n").alias("n"))
-    found = found.join(tail.select("code", "stratum").dropDuplicates(["code"]), "code")
+    found = contexts(texts, units, class_of, k).groupBy("code", "context").agg(F.sum("n").alias("n"), F.max("stratum").alias("stratum"))
     moved = tail_classes(found.select("code", "context", "n", "stratum"), step, m.sum(axis=0), prior)
-    tail = cut(tail.join(moved.dropDuplicates(["code"]), "code").select("word", "n", "stratum", "class"), "tail-classes")
+    tail = cut(tail.join(moved.hint("merge"), "code").select("word", "n", "stratum", "class"), "tail-classes")
 
     # Tokens and distinct words of each class: units here, all others from their table.
     own_class = np.array([class_of[u] for u in units.unit], dtype=np.int64) if len(units.unit) else np.zeros(0, dtype=np.int64)
