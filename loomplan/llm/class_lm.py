@@ -91,8 +91,8 @@ class Lookup(dict):
 
 def known_units(counts: DataFrame, total: int, unit_share: float, known_share: float) -> Units:
     """Unit 0 is the end, then the frequent words, the rest of the places are strata."""
-    rows = counts.where(F.col("n") >= max(1.0, known_share * total)).orderBy(F.desc("n"), "word").toLocalIterator()
-    found = [(bytes(r["word"]), r["n"]) for r in rows if bytes(r["word"]) != END]
+    rows = counts.where((F.col("n") >= max(1.0, known_share * total)) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").toArrow()
+    found = list(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
     frequent = sum(n >= unit_share * total for _, n in found)
     unit = np.array([k + 1 if k < frequent else 1 + frequent + stratum(w) for k, (w, _) in enumerate(found)], dtype=np.int64)
     return Units({w: k for k, (w, _) in enumerate(found)}, np.array([n for _, n in found], dtype=np.int64), unit, 1 + frequent + STRATA)
@@ -195,9 +195,14 @@ def class_bigrams(pairs: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["cell", "n"])
 
+    return _matrix(pairs.mapInArrow(run, "cell long, n long"), k)
+
+
+def _matrix(cells: DataFrame, k: int) -> np.ndarray:
+    """Sums of (cell, n) as a k by k matrix: at most 65,536 rows, fetched by one job."""
+    sums = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(k * k)
-    for r in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     return out.reshape(k, k)
 
 
@@ -234,8 +239,8 @@ def exchange_clustering(pairs: DataFrame, n_units: int, *, k: int = CLASSES, ite
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(moved, pa.int32())], names=["unit", "class"])
 
         now = classes.copy()
-        for row in rows.mapInArrow(run, "unit long, class int").toLocalIterator():
-            now[row["unit"]] = row["class"]
+        moves = rows.mapInArrow(run, "unit long, class int").toArrow()
+        now[moves["unit"].to_numpy()] = moves["class"].to_numpy()
         if (now == classes).all():
             break
         classes = now
@@ -348,10 +353,7 @@ def transitions(classed: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["cell", "n"])
 
-    out = np.zeros(k * k)
-    for r in classed.where("learns").select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
-    return out.reshape(k, k)
+    return _matrix(classed.where("learns").select("classes").mapInArrow(run, "cell long, n long"), k)
 
 
 @dataclass
@@ -496,17 +498,17 @@ def fit_and_score(docs: DataFrame, train: DataFrame | Column, *, classes: int =
     size, kinds_in = np.zeros(k), np.zeros(k)
     np.add.at(size, own_class[is_unit], units.counts[is_unit])
     np.add.at(kinds_in, own_class[is_unit], 1)
-    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toLocalIterator():
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         size[r["class"]] += r["n"]
         kinds_in[r["class"]] += r["kinds"]
     # Unseen words of a stratum: where most of its once-seen words are.
     stratum_class = class_of[first_stratum:].copy()
     best = tail.where("n = 1").groupBy("stratum", "class").count().groupBy("stratum").agg(F.max_by(F.col("class"), F.struct(F.col("count"), -F.col("class"))).alias("class"))
-    for r in best.toLocalIterator():
+    for r in best.collect():
         stratum_class[r["stratum"]] = r["class"]
     known = tail.where(F.col("n") >= max(1.0, known_share * total))
-    for r in known.select("word", "class").toLocalIterator():
-        own_class[units.ids[bytes(r["word"])]] = r["class"]
+    of_known = known.select("word", "class").toArrow()
+    own_class[[units.ids[w] for w in of_known["word"].to_pylist()]] = of_known["class"].to_numpy()
     discount = once / (once + 2.0 * twice) if once and twice else 0.5
     with np.errstate(divide="ignore"):
         unseen_share = np.where(kinds_in > 0, np.log10(discount * kinds_in / np.maximum(size, 1)), 0.0)
