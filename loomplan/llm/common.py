@@ -138,3 +138,7 @@ def portions(texts: list[bytes], most: int = 1_000_000):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+#: The table of the CRC-32 of zlib, by its rule (reflected polynomial 0xEDB88320).
+CRC_SQL = "crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS step FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT) AS c FROM range(256) t(i)))"
