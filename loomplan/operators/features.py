@@ -30,11 +30,15 @@ def exclude_zero_sales(rows: DataFrame, sales: str = "sales_qty") -> DataFrame:
     return required(rows.where(F.col(sales) != 0), "no historical row has sales")
 
 
-def with_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:
-    """Upcoming rows whose item type, normalised, is in the history; it is an error if none is."""
+def of_known_types(upcoming: DataFrame, history: DataFrame) -> DataFrame:
+    """Upcoming rows whose item type, normalised, is in the history."""
     types = history.select(normalize_text(F.col("item_type")).alias("_type")).distinct()
-    found = upcoming.join(types, normalize_text(F.col("item_type")) == F.col("_type"), "left_semi")
-    return required(found, "no upcoming row has an item type of the history")
+    return upcoming.join(types, normalize_text(F.col("item_type")) == F.col("_type"), "left_semi")
+
+
+def with_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:
+    """``of_known_types``; it is an error if there is none."""
+    return required(of_known_types(upcoming, history), "no upcoming row has an item type of the history")
 
 
 def without_history(upcoming: DataFrame, history: DataFrame) -> DataFrame:

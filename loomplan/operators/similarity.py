@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from loomplan.functions.numeric import hybrid_score, similarity
 from loomplan.functions.text import TROUSER_TYPE, canonical_design, needs_pattern_gate, needs_trouser_gate, retrieval_key
+from loomplan.operators.pruned import best_of, kind, matrix, merged, pruned_topk
 from loomplan.operators.quantiles import exact_percentiles
 from loomplan.policy import MATCH, MatchPolicy
 from loomplan.sources.stage import settle
@@ -21,6 +22,8 @@ from loomplan.sources.stage import settle
 #: Rows of one cohort in a block, of the searched side as of the queries.
 BLOCK = 4_096
 DELTA_E_SCALE = 50.0
+#: Different distances to 7 places from 0 to 2, and counts that a block hands on at most.
+DISTANCES, MOST_COUNTS = 20_000_001, 5_000
 
 
 def cohort_key(policy: MatchPolicy = MATCH) -> Column:
@@ -54,47 +57,27 @@ def _met(left: DataFrame, right: DataFrame, key: Column, block: int):
     return x.groupBy(*group).cogroup(y.groupBy(*group))
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    """A column of vectors as a matrix."""
-    flat = vectors.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
-
-
-def _kind(df: DataFrame) -> str:
-    return df.schema["id"].dataType.simpleString()
-
-
 def cohort_topk(left: DataFrame, right: DataFrame, k: int, *, policy: MatchPolicy = MATCH, block: int = BLOCK) -> DataFrame:
     """(left_id, right_id, retrieval_rank, distance): the k nearest of the same cohort.
 
     left, right: id, ordinal, item_type, design, vector (unit length).  Both sides of a
     cohort are cut into blocks, so one large cohort is many tasks of bounded size; each
     multiplies matrices and hands on its best k for each query, and a window merges
-    them.  Ties go to the lower ordinal.  Distance is 1 - the inner product in double
-    precision, held to [0, 2].
+    them.  A cohort of more than a block (and 4 k) rows is kept in cells, and a query meets
+    only those that can hold one of its k nearest (``pruned``).  Ties go to the lower
+    ordinal.  Distance is 1 - the inner product in double precision, held to [0, 2].
     """
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if len(a) and len(b):
-            b = b.sort_by("right_ordinal")
-            y = _matrix(b["right_vector"])
-            for at in range(0, len(a), 512):
-                part = a.slice(at, 512)
-                d = 1 - _matrix(part["left_vector"]) @ y.T
-                rows = np.arange(len(d))[:, None]
-                if k < d.shape[1]:
-                    # All that are as near as the k-th, so that ties at the last place go by order.
-                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    row, column = np.nonzero(d <= last)
-                else:
-                    row, column = (x.ravel() for x in np.broadcast_arrays(rows, np.arange(d.shape[1])[None, :]))
-                out.append(pa.table({"left_id": part["left_id"].take(pa.array(row)), "right_id": b["right_id"].take(pa.array(column)), "right_ordinal": b["right_ordinal"].take(pa.array(column)), "distance": np.clip(d[row, column], 0, 2)}))
-        return pa.concat_tables(out) if out else pa.table({"left_id": a["left_id"].slice(0, 0), "right_id": b["right_id"].slice(0, 0), "right_ordinal": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-
-    partial = _met(left, right, cohort_key(policy), block).applyInArrow(best, f"left_id {_kind(left)}, right_id {_kind(right)}, right_ordinal long, distance double")
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_ordinal"))
-    return partial.withColumn("retrieval_rank", rank).where(F.col("retrieval_rank") <= k)
+    key = cohort_key(policy)
+    # As many rows of a table as there are cohorts of more than a block.
+    large = settle(right.select(key.alias("cohort")).groupBy("cohort").count().where(F.col("count") > max(block, 4 * k)).select("cohort"), "large-cohorts")
+    direct = lambda x, y: merged(_met(x, y, key, block).applyInArrow(best_of(k), f"left_id {kind(left)}, right_id {kind(right)}, right_ordinal long, distance double"), k)
+    if large.isEmpty():
+        return direct(left, right)
+    own = lambda df: df.withColumn("cohort", key)
+    of = lambda df, how: own(df).join(large, "cohort", how)
+    small = direct(of(left, "left_anti").drop("cohort"), of(right, "left_anti").drop("cohort"))
+    return small.unionByName(pruned_topk(of(left, "left_semi"), of(right, "left_semi"), k, block))
 
 
 def _delta_e(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -221,11 +204,11 @@ def ranked(scored: DataFrame) -> DataFrame:
 def _distances(a: pa.Table, b: pa.Table, others: bool):
     """(first row of ``a``, distances to all of ``b`` in units of 1e-7), in portions of rows; -1 for a row itself if only ``others`` count."""
     if len(a) and len(b):
-        y = _matrix(b["right_vector"])
+        y = matrix(b["right_vector"])
         place = {x: i for i, x in enumerate(b["right_id"].to_pylist())} if others else {}
         for at in range(0, len(a), 512):
             part = a.slice(at, 512)
-            d = np.rint(np.clip(1 - _matrix(part["left_vector"]) @ y.T, 0, 2) * 1e7).astype(np.int64)
+            d = np.rint(np.clip(1 - matrix(part["left_vector"]) @ y.T, 0, 2) * 1e7).astype(np.int64)
             if others:
                 for i, x in enumerate(part["left_id"].to_pylist()):
                     if x in place:
@@ -237,51 +220,67 @@ def all_pairs_calibration(left: DataFrame, right: DataFrame, *, block: int = BLO
     """(n, median, scale) of the distances, to 7 places, of all rows of ``left`` to all of ``right``.
 
     Exact, by the rule of ``calibration``; with ``others`` a row's distance to itself (the
-    same id) doesn't count.  Blocks hand on counts of their distances, of which there are
-    at most 20,000,001, so no list of pairs is made; the driver sees counts of 4,096
-    distances at a time, and single ones only where a percentile lies.
+    same id) doesn't count.  Every block counts its distances by ranges and hands on at
+    most ``MOST_COUNTS`` numbers; the ranges that hold a wanted rank are then counted in
+    finer ranges, two or three times until these are single distances.
     """
 
-    def count(a: pa.Table, b: pa.Table) -> pa.Table:
-        # Portions are merged as they come, so that a task holds no more than one count a distance.
-        codes = n = np.zeros(0, dtype=np.int64)
-        for _, d in _distances(a, b, others):
-            new, seen = np.unique(d[d >= 0], return_counts=True)
-            both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            codes, n = both, np.bincount(where, weights=np.concatenate([n, seen])).astype(np.int64)
-        return pa.table({"code": codes, "n": n})
-
-    met = _met(left, right, F.lit("all"), block).applyInArrow(count, "code long, n long")
-    fine = settle(met.groupBy("code").agg(F.sum("n").alias("n")), "distances")
-    coarse = fine.groupBy(F.expr("code div 4096").alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    if not coarse:
+    def counted(starts: list[int], span: int, width: int) -> np.ndarray:
+        """How many distances lie in each range of ``width`` from each start on, over ``span``."""
+        first, per = np.array(starts), -(-span // width)
+
+        def count(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = np.zeros(len(first) * per, dtype=np.int64)
+            for _, d in _distances(a, b, others):
+                d = d[d >= 0]
+                at = np.searchsorted(first, d, side="right") - 1
+                inside = (at >= 0) & (d < first[at] + span)
+                d, at = d[inside], at[inside]
+                out += np.bincount(at * per + (d - first[at]) // width, minlength=len(out))
+            held = np.flatnonzero(out)
+            return pa.table({"place": held, "n": out[held]})
+
+        met = _met(left, right, F.lit("all"), block).applyInArrow(count, "place long, n long")
+        out = np.zeros(len(first) * per, dtype=np.int64)
+        for r in met.groupBy("place").agg(F.sum("n").alias("n")).collect():
+            out[r["place"]] = r["n"]
+        return out.reshape(len(first), per)
+
+    span, width, starts = DISTANCES, -(-DISTANCES // MOST_COUNTS), [0]
+    counts = counted(starts, span, width)
+    total = int(counts.sum())
+    if not total:
         return 0, 0.5, 0.1
-    bins, ends = np.array([r["bin"] for r in coarse]), np.cumsum([r["n"] for r in coarse])
-    total = int(ends[-1])
     places = [q * (total - 1) for q in (0.1, 0.5, 0.9)]
-    ranks = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
-    held = np.searchsorted(ends, ranks, side="right")
-    value = {}
-    for h in sorted(set(held.tolist())):
-        rows = fine.where(F.expr("code div 4096") == int(bins[h])).orderBy("code").collect()
-        upto = np.cumsum([r["n"] for r in rows]) + (ends[h - 1] if h else 0)
-        for rank in (r for r, x in zip(ranks, held) if x == h):
-            value[rank] = rows[int(np.searchsorted(upto, rank, side="right"))]["code"] / 1e7
+    # Each wanted rank: where its range starts, and its rank within that range.
+    held = {f(p): (0, f(p)) for p in places for f in (math.floor, math.ceil)}
+    while True:
+        for rank, (start, within) in held.items():
+            ends = np.cumsum(counts[starts.index(start)])
+            j = int(np.searchsorted(ends, within, side="right"))
+            held[rank] = (start + j * width, within - (int(ends[j - 1]) if j else 0))
+        if width == 1:
+            break
+        starts, span = sorted({start for start, _ in held.values()}), width
+        width = -(-span // (MOST_COUNTS // len(starts)))
+        counts = counted(starts, span, width)
+    value = {rank: start / 1e7 for rank, (start, _) in held.items()}
     q10, median, q90 = (value[math.floor(p)] + (p - math.floor(p)) * (value[math.ceil(p)] - value[math.floor(p)]) for p in places)
     return total, median, max((q90 - q10) / (2 * math.log(9)), 1e-4)
 
 
-def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: int, *, block: int = BLOCK, others: bool = False) -> DataFrame:
+def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: int, *, block: int = BLOCK, others: bool = False, calibrated: tuple[float, float] | None = None) -> DataFrame:
     """(left_id, right_id, right_ordinal, distance, visual_score, hybrid_score, match_rank): the best k of the whole history.
 
     Every row of ``left`` is scored against every row of ``right`` (id, ordinal, vector),
-    whatever their item types, with the calibration of all those pairs.  A row of ``right``
+    whatever their item types, with the calibration of all those pairs, or the median and
+    scale that ``calibrated`` gives.  A row of ``right``
     without a vector, and all of them for ``products`` (id) that aren't in ``left``, have a
     null score that ranks as 0, in order.  With ``others`` a row doesn't meet itself.  A
     block keeps its best k by rounded score, then order, so ties at the last place are right.
     """
     seen = right.where("vector is not null")
-    _, median, scale = all_pairs_calibration(left, seen, block=block, others=others)
+    median, scale = calibrated or all_pairs_calibration(left, seen, block=block, others=others)[1:]
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("right_ordinal")
@@ -289,13 +288,16 @@ def whole_one_stage(left: DataFrame, right: DataFrame, products: DataFrame, k: i
         for at, d in _distances(a, b, others):
             score = np.rint(1e4 / (1 + np.exp(np.clip((d / 1e7 - median) / max(scale, 1e-6), -30, 30))))
             score[d < 0] = -1
-            picked = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            # By score, then order, in one number; only the best k are put in order.
+            rank = -score.astype(np.int64) * score.shape[1] + np.arange(score.shape[1])
+            picked = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(score), 1))
+            picked = np.take_along_axis(picked, np.argsort(np.take_along_axis(rank, picked, axis=1), axis=1), axis=1)
             row, column = np.repeat(np.arange(len(d)), picked.shape[1]), picked.ravel()
             row, column = (x[d[row, column] >= 0] for x in (row, column))
             out.append(pa.table({"left_id": a["left_id"].take(pa.array(at + row)), "right_id": b["right_id"].take(pa.array(column)), "right_ordinal": b["right_ordinal"].take(pa.array(column)), "distance": d[row, column] / 1e7}))
         return pa.concat_tables(out) if out else pa.table({"left_id": a["left_id"].slice(0, 0), "right_id": b["right_id"].slice(0, 0), "right_ordinal": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
-    near = _met(left, seen, F.lit("all"), block).applyInArrow(best, f"left_id {_kind(left)}, right_id {_kind(right)}, right_ordinal long, distance double")
+    near = _met(left, seen, F.lit("all"), block).applyInArrow(best, f"left_id {kind(left)}, right_id {kind(right)}, right_ordinal long, distance double")
     near = near.withColumn("visual_score", similarity(F.col("distance"), F.lit(median), F.lit(scale)))
     unscored = {"distance": F.lit(None).cast("double"), "visual_score": F.lit(None).cast("double")}
     # At most k + 1 rows each: what stands first in order, and that without a vector.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from loomplan.plans import domain
 from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
 from loomplan.policy import MATCH
-from loomplan.sources import publish
+from loomplan.sources import feature_store, publish
 from loomplan.sources.stage import new_path, settle
+from loomplan.streaming import arrivals, planner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,13 +484,25 @@ def target_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("setting_id").agg(F.sum("quantity").alias("total_quantity"), F.count_if("quantity_capped").alias("capped"), F.count_if(~F.col("no_match")).alias("matched"))
 
 
-@query
-def planner_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overrides and approvals that still hold, from a log of what planners did: users as plans, values as products."""
+def _planner_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of what planners did: users as plans, values as products."""
     kinds = {"signup": "settings", "click": "override", "error": "choose", "purchase": "approve", "view": "reset"}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("seq"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.floor("value").cast("string").alias("id"), F.floor(F.col("value") * 100).alias("quantity"))
-    return recommend.planner_state(log)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("seq"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.floor("value").cast("string").alias("id"), F.floor(F.col("value") * 100).alias("quantity"))
+
+
+@query
+def planner_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides and approvals that still hold."""
+    return recommend.planner_state(_planner_log(spark, sf_dir))
+
+
+@query
+def planner_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the log, whose steps come late and in three micro-batches."""
+    out = new_path(spark, "plans")
+    planner.follow_plans(_read_as_stream(_planner_log(spark, sf_dir), "planner-log", 3), out, new_path(spark, "stream")).awaitTermination()
+    return planner.plans(spark, out)
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,6 +584,35 @@ def feature_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.cache_misses(wanted, saved).select("ordinal", "cache_key")
 
 
+def colour_card(content: bytes) -> np.ndarray:
+    """A picture of one colour from three numbers in text; anything else is a broken file."""
+    return np.full((40, 40, 3), [int(x) for x in content.split(b",")[:3]], dtype=np.uint8)
+
+
+def mean_colours():
+    """An encoder that gives the mean colour of each picture."""
+    return lambda pictures: np.array([p.reshape(-1, 3).mean(axis=0) for p in pictures])
+
+
+@query
+def feature_store_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all images with those of every second one already kept; two products share an image, and some files are broken."""
+    k = F.floor(F.col("vec_id") / 2)
+    numbers = [(F.pmod(k, F.lit(m)) + 1).cast("string") for m in (251, 241, 239)]
+    content = F.when(F.pmod(k, F.lit(97)) == 5, F.lit("broken")).otherwise(F.concat_ws(",", *numbers, k.cast("string")))
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), k.alias("image"), F.lit("OTSH").alias("item_type"), content.cast("binary").alias("content"))
+    model = feature_store.Model("mean-colour", "main", "v1", 3)
+    empty = spark.createDataFrame([], feature_store.CACHE)
+    kept = feature_store.refresh(images.where("image % 2 = 0"), empty, model, colour_card, mean_colours).cache
+    now = feature_store.refresh(images, kept, model, colour_card, mean_colours)
+    at = lambda i: _r(F.get("vector", F.lit(i)).cast("double"), 5)
+    pattern = _r(F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4)
+    good = now.features.select("id", "reused", F.lit(None).cast("string").alias("issue"), *[at(i).alias(c) for i, c in enumerate("rgb")], pattern.alias("pattern_length"))
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    bad = now.issues.select("id", F.lit(None).cast("boolean").alias("reused"), "issue", *map(none, [*"rgb", "pattern_length"]))
+    return good.unionByName(bad)
+
+
 @query
 def feature_cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new products, and past ones that sold out, still use their features."""
@@ -594,6 +637,28 @@ def reuse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.recommendations(fresh, ranked, demand.fit_demand(published)).select("id", "best_id", "quantity")
 
 
+def _read_as_stream(rows: DataFrame, name: str, files: int) -> DataFrame:
+    """``rows`` as a stream of so many files, one in a micro-batch; rows come in an order of no meaning."""
+    path = new_path(rows.sparkSession, name)
+    rows.repartition(files, F.xxhash64(rows.columns[0], rows.columns[1])).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New products as a stream, their images' features as another, against a saved build; the same rows as ``reuse_history``."""
+    m, fitted, path = Matching(spark, sf_dir), _fitted(spark, sf_dir), new_path(spark, "build")
+    right, left = settle(m.right.select("id", "ordinal", "vector"), "right"), settle(m.left.select("id", "ordinal", "vector"), "left")
+    _, median, scale = similarity.all_pairs_calibration(left, right)
+    arrivals.save_build(arrivals.Build(right, fitted, median, scale), path)
+    second = F.timestamp_seconds(F.lit(1_750_000_000) + F.pmod(F.xxhash64("id"), F.lit(86_400)))
+    products = _read_as_stream(m.upcoming.withColumn("arrived", second), "arrivals", 2)
+    pictures = _read_as_stream(left.select("id", "vector").withColumn("seen", F.timestamp_seconds(F.unix_timestamp(second) + 43_200)), "pictures", 2)
+    out = new_path(spark, "served")
+    arrivals.serve(products, pictures, arrivals.load_build(spark, path), out, new_path(spark, "stream"), late="2 days").awaitTermination()
+    return arrivals.served(spark, out).select("id", "best_id", "quantity")
+
+
 @query
 def loo_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every historical product with an image forecast from the others, with priors held fixed."""
