@@ -46,6 +46,11 @@ def cleaned_sales(order: Column, dispatch: Column, sales: Column) -> Column:
     return F.when(supply > 0, F.least(sold, supply)).otherwise(sold)
 
 
+def tells_weeks(ageing_days: Column, sell_through: Column, weekly: Column) -> Column:
+    """Whether a row says how long it was on sale; ``weeks_on_floor`` takes its fallback for others."""
+    return (_number(ageing_days) > 0) | ((_number(sell_through) > 0) & (_number(weekly) > 0))
+
+
 def weeks_on_floor(ageing_days: Column, sell_through: Column, weekly: Column, fallback: Column | float) -> Column:
     """Weeks that a product was on sale, at least one."""
     back = fallback if isinstance(fallback, Column) else F.lit(float(fallback))

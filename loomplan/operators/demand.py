@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomplan.functions.numeric import P10_Z, clamp, cleaned_sales, is_censored, lognormal_conditional_mean, weeks_on_floor
+from loomplan.operators.quantiles import exact_percentiles
 from loomplan.policy import DEMAND, DemandPolicy
 from loomplan.sources.stage import settle
 
@@ -19,19 +20,22 @@ def _named(column: str) -> Column:
     return F.when(F.coalesce(F.col(column), F.lit("")) == "", F.lit(UNNAMED)).otherwise(F.col(column))
 
 
-def horizon_weeks(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
-    """One row: the upper median of the weeks on floor of rows that tell them."""
+def told_weeks(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
+    """(w) of the rows that say something of their weeks on floor."""
     days, weekly = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ageing_days", "weekly_sell_through"))
     weeks = weeks_on_floor(F.col("ageing_days"), F.col("sell_through"), F.col("weekly_sell_through"), policy.fallback_horizon_weeks)
-    told = history.where((days > 0) | (weekly > 0)).select(weeks.alias("w"))
-    # One row for each distinct number of weeks; of those from whose end half of all rows
-    # or fewer lie above, the least is the upper median.
-    counts = settle(told.groupBy("w").agg(F.count("*").alias("n")).withColumn("bucket", F.floor("w")), "weeks")
-    by_bucket = Window.orderBy("bucket")
-    sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(by_bucket), "total": F.sum("n").over(Window.partitionBy())})
-    held = sums.where("2 * upto > total").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "total")).alias("h")).select("h.*")
-    inside = counts.join(F.broadcast(held), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy("w")))
-    return inside.where("2 * upto > total").agg(F.coalesce(F.min("w"), F.lit(policy.fallback_horizon_weeks)).alias("horizon_weeks"))
+    return history.where((days > 0) | (weekly > 0)).select(weeks.alias("w"))
+
+
+def upper_median(counts: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
+    """One row, horizon_weeks: the upper median of weeks ``w`` that ``n`` rows have each, or the fallback without any."""
+    found = exact_percentiles(counts.withColumn("of", F.lit("weeks")), ["of"], "w", [0.5], weight="n", upper=True)
+    return found.agg(F.coalesce(F.max(F.get("q", F.lit(0))), F.lit(policy.fallback_horizon_weeks)).alias("horizon_weeks"))
+
+
+def horizon_weeks(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
+    """One row: the upper median of the weeks on floor of rows that tell them."""
+    return upper_median(told_weeks(history, policy).groupBy("w").agg(F.count("*").alias("n")), policy)
 
 
 def with_rates(history: DataFrame, policy: DemandPolicy = DEMAND, horizon: Column | None = None) -> DataFrame:
@@ -81,10 +85,15 @@ def shrinkage_tau(raw: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
     return got.select(F.when(F.col("n") < 2, F.lit(4.0)).otherwise(F.coalesce(ratio, F.lit(20.0))).alias("tau"))
 
 
+def greatest_seen(history: DataFrame) -> DataFrame:
+    """(item_type, seen): the larger of order and sales of each row; a null type is ''."""
+    seen = F.greatest(F.coalesce(F.col("order_qty").cast("double"), F.lit(0.0)), F.coalesce(F.col("sales_qty").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return history.select(F.coalesce("item_type", F.lit("")).alias("item_type"), seen.alias("seen"))
+
+
 def buy_ceilings(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
     """(item_type, ceiling), and a row of null item type for all; blank types are one type ''."""
-    seen = F.greatest(F.coalesce(F.col("order_qty").cast("double"), F.lit(0.0)), F.coalesce(F.col("sales_qty").cast("double"), F.lit(0.0)), F.lit(0.0))
-    rolled = history.select(F.coalesce("item_type", F.lit("")).alias("item_type"), seen.alias("seen")).rollup("item_type").agg(F.grouping_id().alias("g"), F.max("seen").alias("seen"))
+    rolled = greatest_seen(history).rollup("item_type").agg(F.grouping_id().alias("g"), F.max("seen").alias("seen"))
     return rolled.select(F.when(F.col("g") == 0, F.col("item_type")).alias("item_type"), F.greatest(F.coalesce("seen", F.lit(0.0)) * policy.ceiling_multiplier, F.lit(policy.ceiling_floor)).alias("ceiling"))
 
 

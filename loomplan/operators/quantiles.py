@@ -12,14 +12,17 @@ from loomplan.sources.stage import settle
 BUCKETS = 256
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], *, weight: str | None = None, upper: bool = False) -> DataFrame:
     """(keys, n, q): the number of values of each group and their percentiles at ``shares``, linearly interpolated.
 
+    ``weight``: a column that says how many times a row counts.  ``upper``: instead of between
+    two values, the one of rank floor(share * n) from 0, at 0.5 the upper median.
+
     Values are counted, and distinct ones dealt to ranges; a window over the ranges' counts
     finds those that hold a wanted rank, and only these are put in order.  Nulls don't
     count; groups without values have no row.
     """
-    counts = settle(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n")), "value-counts")
+    counts = settle(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("n")), "value-counts")
     cuts = F.array_distinct(F.percentile_approx("v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(4 * BUCKETS)))
     bounds = counts.groupBy(*keys).agg(cuts.alias("cuts"), F.sum("n").alias("total"))
     # A row for each group, of at most BUCKETS numbers.
@@ -27,7 +30,8 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list
     sums = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     upto = F.sum("in_bucket").over(Window.partitionBy(*keys).orderBy("bucket"))
     sums = sums.select(*keys, "bucket", (upto - F.col("in_bucket")).alias("before"), upto.alias("upto"))
-    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    last = F.col("total") - 1
+    place = lambda q: F.least(F.floor(F.lit(q) * F.col("total")), last) if upper else F.lit(q) * last
     asked = bounds.select(*keys, "total", F.explode(F.array_distinct(F.array(*[f(place(q)).cast("long") for q in shares for f in (F.floor, F.ceil)]))).alias("rank"))
     held = asked.join(sums, keys).where("before <= rank and rank < upto").select(*keys, "rank", "bucket", "before")
     wanted = held.select(*keys, "bucket", "before").distinct()

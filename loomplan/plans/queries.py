@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomplan.functions import numeric as num
 from loomplan.functions import text as txt
-from loomplan.operators import demand, features, recommend, similarity, validate
+from loomplan.operators import demand, features, recommend, seasons, similarity, validate
 from loomplan.plans import domain
 from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
@@ -330,6 +330,24 @@ def published_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.published(_fitted(spark, sf_dir))
 
 
+def _two_seasons(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The model of a store that the history entered in two seasons, after the other was forgotten."""
+    store, rows = seasons.Seasons(spark, new_path(spark, "seasons")), domain.history(spark, sf_dir)
+    store.add("AW24", rows.where("ordinal % 3 = 1"))
+    store.add("AW25", rows.where("ordinal % 3 <> 1"))
+    return store.fitted()
+
+
+@query
+def season_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _priors(_two_seasons(spark, sf_dir)["priors"])
+
+
+@query
+def season_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_seasons(spark, sf_dir)["corrected"].select("id", _r("corrected_rate", 5))
+
+
 # --- Matching -------------------------------------------------------------
 
 
