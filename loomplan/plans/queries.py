@@ -15,7 +15,7 @@ from loomplan.plans import domain
 from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
 from loomplan.policy import MATCH
-from loomplan.sources import feature_store, publish
+from loomplan.sources import artifact, feature_store, publish
 from loomplan.sources.stage import new_path, settle
 from loomplan.streaming import arrivals, planner
 
@@ -569,7 +569,15 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def results_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.results_page(domain.upcoming(spark, sf_dir).select("ordinal", "id"), 20, 30)
+    """A page from the start, one from within, and the last one."""
+    path = new_path(spark, "pages")
+    publish.write_pages(domain.upcoming(spark, sf_dir).select("ordinal", "id"), path, files=8)
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    out = None
+    for page, (cursor, limit) in enumerate([(None, 7), (100, 30), (last - 21, 1_000)]):
+        rows = publish.read_page(spark, path, cursor, limit).select(F.lit(page).alias("page"), "ordinal", "id", "next_cursor")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query
@@ -584,9 +592,15 @@ def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def active_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    builds = o.groupBy(F.date_trunc("month", "o_orderdate").alias("created")).agg(F.max("o_orderkey").cast("string").alias("build_id"), F.count("*").alias("n"))
-    return publish.active_build(builds).select("build_id", "n")
+    """Months of orders as builds, quarters as versions of the history, months of delivery as versions of the new products."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    month = F.date_trunc("month", "o_orderdate")
+    made = o.groupBy(month.alias("created")).agg(F.max("o_orderkey").cast("string").alias("build_id"), F.count("*").alias("n"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    made = made.select("build_id", "created", "n", text(F.date_trunc("quarter", "created")).alias("historical_version"), text("created").alias("upcoming_version"))
+    historical = o.groupBy(text(F.date_trunc("quarter", "o_orderdate")).alias("version")).agg(F.countDistinct("o_custkey").alias("products"))
+    upcoming = li.groupBy(text(F.date_trunc("month", "l_shipdate")).alias("version")).agg(F.countDistinct("l_partkey").alias("products"))
+    return publish.active_versions(publish.active_build(made), made, historical, upcoming).select("build_id", "n", "historical_version", "historical_products", "upcoming_version", "upcoming_products")
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -693,13 +707,26 @@ def loo_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def build_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full build through gates and hybrid scores: products with their matches and decisions."""
+    """The full build through gates and hybrid scores, written as one document in parts and read back from it."""
     m = Matching(spark, sf_dir)
-    ranked = m.ranked()
-    out = recommend.recommendations(m.upcoming, ranked, demand.fit_demand(m.history))
-    lists = similarity.match_lists(ranked)
-    flags = F.array_distinct(F.array_compact(F.array(F.when(~F.col("has_image"), F.lit("missing_image")), F.when(F.col("no_match"), F.lit("no_suitable_match")))))
-    return out.join(lists, F.col("id") == F.col("left_id"), "left").select(*COLUMNS, flags.alias("model_flags"), F.to_json(F.struct("id", "quantity", "matches")).alias("json"))
+    fitted, ranked = demand.fit_demand(m.history), m.ranked()
+    flagged = features.upcoming_features(m.upcoming, m.history)
+    new = artifact.upcoming_documents(settle(recommend.recommendations(flagged, ranked, fitted), "recommended"), similarity.match_lists(ranked), MATCH.minimum_score)
+    old = artifact.historical_documents(fitted["history"])
+    path = new_path(spark, "artifact")
+    artifact.write_artifact(features.dataset_meta(fitted["history"], m.upcoming), old, new, path)
+    back = artifact.read_artifact(spark, path, "upcoming", new).select("document.*")
+    rec = F.col("recommendation")
+    out = back.select(
+        F.lit("upcoming").alias("section"), "id", F.get("matches", F.lit(0))["historicalId"].alias("best_id"), rec["matchConfidence"].alias("match_confidence"), rec["quantity"].alias("quantity"), rec["expectedSales"].alias("expected_sales"),
+        F.size("matches").cast("long").alias("n_matches"), F.array_join("modelFlags", ",").alias("flags"), _r(rec["demand"]["logMu"], 3).alias("log_mu"))
+    past = artifact.read_artifact(spark, path, "historical", old).select("document.*")
+    out = out.unionByName(past.select(
+        F.lit("historical").alias("section"), "id", F.lit(None).cast("string").alias("best_id"), F.lit(None).cast("string").alias("match_confidence"), F.col("order").alias("quantity"), F.col("sales").alias("expected_sales"),
+        F.lit(None).cast("long").alias("n_matches"), F.array_join("qualityFlags", ",").alias("flags"), _r("weeklyLogRate", 3).alias("log_mu")))
+    counts = artifact.read_artifact(spark, path, "meta").select(F.from_json("value", "historical_items long, upcoming_items long").alias("m"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    return out.unionByName(counts.select(F.lit("meta").alias("section"), none("id", "string"), none("best_id", "string"), none("match_confidence", "string"), F.col("m.historical_items").alias("quantity"), F.col("m.upcoming_items").alias("expected_sales"), none("n_matches", "long"), none("flags", "string"), none("log_mu", "double")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
