@@ -33,7 +33,7 @@ def _rows(df: DataFrame, kind: Column | str, **columns: Column) -> DataFrame:
     return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in schema.items()])
 
 
-def _prepared(history: DataFrame, policy: DemandPolicy) -> DataFrame:
+def prepared(history: DataFrame, policy: DemandPolicy) -> DataFrame:
     """Adds cleaned_sales, weeks (null where a row doesn't tell them) and censored."""
     args = (F.col("ageing_days"), F.col("sell_through"), F.col("weekly_sell_through"))
     weeks = F.when(tells_weeks(*args), weeks_on_floor(*args, policy.fallback_horizon_weeks))
@@ -42,7 +42,7 @@ def _prepared(history: DataFrame, policy: DemandPolicy) -> DataFrame:
 
 def season_statistics(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
     """The statistics of one season's rows, a few for each group of products and for each number of weeks."""
-    rows = _prepared(history, policy)
+    rows = prepared(history, policy)
     named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(UNNAMED)).otherwise(F.col(c)).alias(c)
     used = rows.where(~F.col("censored") & (F.col("cleaned_sales") > 0))
     y = F.log("cleaned_sales") - F.when(F.col("weeks").isNotNull(), F.log("weeks")).otherwise(F.lit(0.0))
@@ -100,7 +100,7 @@ def ceilings(statistics: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
 
 def censored_rows(history: DataFrame, policy: DemandPolicy = DEMAND) -> DataFrame:
     """What a season keeps of rows that sold out: their rates are corrected anew whenever the priors move."""
-    rows = _prepared(history, policy).where(F.col("censored") & (F.col("cleaned_sales") > 0))
+    rows = prepared(history, policy).where(F.col("censored") & (F.col("cleaned_sales") > 0))
     return rows.select(F.col("id").cast("string").alias("id"), "item_type", "category_type", "cleaned_sales", "weeks")
 
 

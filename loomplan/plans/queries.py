@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomplan.functions import numeric as num
 from loomplan.functions import text as txt
-from loomplan.operators import demand, features, recommend, seasons, similarity, validate
+from loomplan.operators import demand, features, leave_one_out, recommend, seasons, similarity, validate
 from loomplan.plans import domain
 from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
@@ -699,10 +699,20 @@ def loo_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = settle(m.right.select("id", "ordinal", "vector"), "right")
     ranked = similarity.whole_one_stage(vectors, vectors, vectors.select("id"), MATCH.published, others=True)
     out = demand.pooled_demand(m.history.select("id", "item_type", "category_type"), recommend.accepted_analogues(ranked), f["history"], f["priors"], f["tau"].scalar(), f["horizon"].scalar())
-    actual = f["rated"].select("id", "cleaned_sales")
-    e = F.col("point_demand") - F.col("cleaned_sales")
-    inside = (F.col("cleaned_sales") >= F.col("p10")) & (F.col("cleaned_sales") <= F.col("p90"))
-    return out.join(actual, "id").agg(F.count("*").alias("products"), _r(F.sum(F.abs(e)) / F.sum("cleaned_sales"), 4).alias("wmape"), _r(F.avg(e), 2).alias("bias"), _r(F.avg(inside.cast("double")), 4).alias("coverage"))
+    return _errors(leave_one_out.backtest(out.join(f["rated"].select("id", "cleaned_sales"), "id")))
+
+
+def _errors(found: DataFrame) -> DataFrame:
+    return found.select("products", _r("wmape", 4), _r("bias", 2), _r("coverage", 4))
+
+
+@query
+def loo_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with horizon, priors and their weight fitted without the product in turn."""
+    m = Matching(spark, sf_dir)
+    vectors = settle(m.right.select("id", "ordinal", "vector"), "right")
+    ranked = settle(similarity.whole_one_stage(vectors, vectors, vectors.select("id"), MATCH.published, others=True), "ranked")
+    return _errors(leave_one_out.backtest(leave_one_out.refitted_forecasts(settle(m.history, "history"), recommend.accepted_analogues(ranked))))
 
 
 @query
