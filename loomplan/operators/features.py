@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,3 +103,42 @@ def dataset_meta(history: DataFrame, upcoming: DataFrame) -> DataFrame:
     b = upcoming.agg(F.count("*").alias("upcoming_items"), F.count_if("has_image").alias("upcoming_images"), F.count_if(~F.col("has_image")).alias("missing_upcoming_images"))
     # One row each.
     return a.join(b, F.lit(True))
+
+
+@dataclass(frozen=True)
+class Source:
+    """Features of both catalogues and what is known of them as a whole."""
+
+    history: DataFrame
+    upcoming: DataFrame
+    meta: DataFrame
+
+
+def feature_source(historical: DataFrame, upcoming: DataFrame, historical_images: DataFrame, upcoming_images: DataFrame, *, prefix: str = "/images") -> Source:
+    """From checked rows of both catalogues and their images (stem) to features and meta.
+
+    historical: season, product_id, item_type, sales_qty, ordinal and more; upcoming: product_id,
+    item_type, season, ordinal and more.  History without sales goes, then repeats of a season
+    and product but the first; new products of item types that the history doesn't have go.
+    Both get id, image_url and has_image, new ones model_flags.  meta: one row of counts,
+    and the season of the first new product.  Nothing left on a side is an error.
+    """
+    sold = exclude_zero_sales(historical)
+    history = image_urls(historical_features(sold), historical_images, f"{prefix}/historical")
+    known = with_history(upcoming, history)
+    fresh = image_urls(upcoming_features(known, history), upcoming_images, f"{prefix}/upcoming").withColumn("id", F.col("product_id"))
+    history, fresh = (df.withColumn("has_image", F.col("image_url").isNotNull()) for df in (history, fresh))
+    one = lambda df, *columns: df.agg(*columns)
+    count = lambda name: F.count("*").alias(name)
+    counts = [
+        one(historical, count("historical_rows")),
+        one(sold, count("_sold")),
+        one(history, count("historical_items"), F.count_if("has_image").alias("historical_image_coverage")),
+        one(upcoming, count("upcoming_rows")),
+        one(fresh, count("upcoming_items"), F.count_if("has_image").alias("upcoming_image_coverage"), F.count_if(F.array_contains("model_flags", "unseen_item")).alias("upcoming_without_historical_item"), F.upper(F.trim(F.min_by("season", "ordinal"))).alias("upcoming_season")),
+    ]
+    meta = counts[0]
+    for c in counts[1:]:
+        meta = meta.join(c, F.lit(True))  # one row each
+    removed = {"zero_sales_excluded": F.col("historical_rows") - F.col("_sold"), "duplicates_removed": F.col("_sold") - F.col("historical_items"), "unseen_excluded": F.col("upcoming_rows") - F.col("upcoming_items")}
+    return Source(history, fresh, meta.withColumns(removed).drop("_sold"))

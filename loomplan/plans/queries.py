@@ -223,6 +223,36 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.ordered_report(validate.report(checked, stems, "historical"))
 
 
+def raw_new_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New products as a catalogue in text, with bad identifiers and categories by key."""
+    u = domain.upcoming(spark, sf_dir)
+    texts = [F.col(c).cast("string").alias(c) for c in ("item_type", "design", "fabric", "colour")]
+    blank = [F.lit("").alias(c) for c in ("style_code", "colour_code", "collection_world")]
+    return u.select("ordinal", identifier_texts("ordinal").alias("product_id"), F.lit("ss27").alias("season"), *texts, *blank, pick(F.col("ordinal"), domain.CATEGORY_TEXTS).alias("category_type"))
+
+
+@query
+def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report of both catalogues."""
+    pictured = domain.image_ids(spark, sf_dir).withColumnRenamed("_vec", "ordinal")
+    both = {}
+    for name, rows in (("historical", raw_catalogue(spark, sf_dir)), ("upcoming", raw_new_catalogue(spark, sf_dir))):
+        checked = settle(validate.validated(rows, historical=name == "historical"), "checked")
+        stems = validate.clean_rows(checked).join(pictured, "ordinal", "left_semi").select(F.col("product_id").alias("stem"))
+        both[name] = checked, stems.union(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem")))
+    return validate.reports(both)
+
+
+@query
+def feature_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From rows of both catalogues to what is known of them as a whole."""
+    h = _finer(domain.history(spark, sf_dir)).withColumns({"season": F.lit("AW25"), "product_id": F.floor(F.col("ordinal") / 2).cast("string"), "sales_qty": F.when(F.pmod("ordinal", F.lit(7)) == 0, F.lit(0)).otherwise(F.col("sales_qty"))})
+    u = _finer(domain.upcoming(spark, sf_dir)).withColumns({"season": F.lit(" ss27 "), "product_id": F.col("ordinal").cast("string")})
+    stems = domain.image_ids(spark, sf_dir).select(F.col("_vec").cast("string").alias("stem"))
+    drop = ["id", "has_image"]
+    return features.feature_source(h.drop(*drop), u.drop(*drop), stems, stems).meta
+
+
 @query
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.cleaning_report(raw_catalogue(spark, sf_dir))
@@ -523,8 +553,8 @@ def planner_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.plans(spark, out)
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _recommended(spark, sf_dir)
+def _planned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = _recommended(spark, sf_dir) if rows is None else rows
     n = F.col("ordinal")
     ids = domain.upcoming(spark, sf_dir)
     overrides = ids.where("ordinal % 20 = 0").select("id", (F.pmod(n, F.lit(40)) * 25).cast("long").alias("override_quantity"))
@@ -533,7 +563,13 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def planner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.planner_export(_planned(spark, sf_dir).withColumns({"style_score": F.col("best_score"), **{f"{c}_score": F.lit(None).cast("double") for c in ("colour", "pattern", "texture")}}))
+    """Decisions of the two-stage build, with the score of each signal of the best match."""
+    m = Matching(spark, sf_dir)
+    ranked = m.ranked()
+    signals = {"fashion": "style", "detail": "pattern", "colour": "colour", "texture": "texture"}
+    scores = ranked.where("match_rank = 1").select(F.col("left_id").alias("id"), *[F.col(f"{s}_score").alias(f"{name}_score") for s, name in signals.items()])
+    rows = _planned(spark, sf_dir, recommend.recommendations(m.upcoming, ranked, _fitted(spark, sf_dir)))
+    return recommend.planner_export(rows.join(scores, "id", "left"))
 
 
 @query

@@ -336,3 +336,17 @@ def test_appearance_rules():
     t = images.texture(np.tile(np.array([0, 0, 255, 255], dtype=np.uint8)[None, :, None], (64, 16, 3)))
     assert len(t) == 16 and abs(np.linalg.norm(t) - 1) < 1e-6 and t[:8].argmax() == 0
     assert images.working(np.zeros((1000, 500, 3), dtype=np.uint8)).shape == (images.WORKING_SIDE, images.WORKING_SIDE // 2, 3)
+
+
+def test_legacy_files_are_taken_whole_or_not_at_all(spark, tmp_path):
+    good = "OTSU51021001F2PC,OTSU,5102,1001,PLAINS,NAVY,100% Cotton,TAILORED,PRO,999\n"
+    read = lambda text: catalogues.read_catalogue(spark, str(tmp_path / f"{abs(hash(text))}.csv"), historical=False)
+    for text, why in ((good.replace("TAILORED", "NONSENSE"), "unknown"), (good.replace("TAILORED", "FORMAL"), "canonical already"), (good.replace("OTSU51021001F2PC", "??"), "no identifier"), ("", "no rows"), (",,,,,,,,,\n", "blank rows only")):
+        full = LEGACY + (good if why not in ("no rows", "blank rows only") else "") + text
+        (tmp_path / f"{abs(hash(full))}.csv").write_text(full)
+        with pytest.raises(validate.CatalogueError, match="product_id: not there"):
+            read(full)
+    full = LEGACY + good + ",,,,,,,,,\n" + good.replace("TAILORED", " relaxed wash ")
+    (tmp_path / f"{abs(hash(full))}.csv").write_text(full)
+    assert [(r["ordinal"], r["category_type"]) for r in read(full).orderBy("ordinal").collect()] == [(0, "FORMAL"), (1, "CASUAL")]
+    assert catalogues.dedupe_names(["A", "B", "A", "A"]) == ["A", "B", "A__2", "A__3"]
