@@ -15,7 +15,7 @@ from loomplan.plans import domain
 from loomplan.plans.domain import pick, table
 from loomplan.plans.matching import Matching
 from loomplan.policy import MATCH
-from loomplan.sources import artifact, feature_store, publish
+from loomplan.sources import artifact, catalogues, feature_store, publish
 from loomplan.sources.stage import new_path, settle
 from loomplan.streaming import arrivals, planner
 
@@ -97,6 +97,29 @@ def standardize_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(source, {"IMAGE ID": "product_id", "ITEM": "item_type", "DESIGN": "design"}, ["MRP"], season="SS27")
 
 
+#: The source names of categories, in the order of use.
+SOURCE_CATEGORIES = ["TAILORED", "Relaxed Wash", "DENIM BRAND", "ceremonial"]
+
+
+@query
+def legacy_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both catalogues in legacy layouts, the new one by image ids, in canonical columns."""
+    text = lambda c: F.col(c).cast("string")
+    ids, category = F.concat(F.lit("OTSH"), text("ordinal"), F.lit("1001")), pick(F.col("ordinal"), SOURCE_CATEGORIES)
+    shared = {"CAT1": text("design"), "CAT4": text("fabric")}
+    old = {
+        "CON": ids, "SEASON": F.lit("AW25"), "ITEM TYPE": text("item_type"), "SORT": text("ordinal"), "COLOR": F.lit("1001"), "CAT3": category, "CAT5": F.lit("x"), "COLOR__2": text("colour"), "MAX": F.lit("1"), "PT": F.lit("2"), "RIL": F.lit("3"),
+        "TOTAL ORDER": text("order_qty"), "DISPATCH": text("dispatch_qty"), "SALE": text("sales_qty"), "1ST DISPATCH": F.lit(""), "AGEING": text("ageing_days"), "SELL THR": F.lit("70%"), "WKLY SELL THRU": F.lit(""), "SLEEVS": F.lit("long"),
+    }
+    new = {"IMAGE ID": ids, "SEGMENT1": text("item_type"), "SEGMENT2": text("ordinal"), "SEGMENT3": F.lit("1001"), "COLOR_NAME": text("colour"), "CAT3": category, "WORLD": F.lit("PRO"), "MRP": F.lit("9")}
+    out = None
+    for rows, columns, historical in ((domain.history(spark, sf_dir), old, True), (domain.upcoming(spark, sf_dir), new, False)):
+        source = rows.select(*[c.alias(n) for n, c in (columns | shared).items()], "ordinal")
+        got = catalogues.recoded(catalogues.from_legacy(source, historical=historical)).withColumn("historical", F.lit(historical))
+        out = got if out is None else out.unionByName(got, allowMissingColumns=True)
+    return out
+
+
 @query
 def attribute_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = domain.products(spark, sf_dir)
