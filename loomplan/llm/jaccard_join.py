@@ -3,8 +3,8 @@
 Each set is embedded as ``COORDS`` MinHash values; a (coordinate, value) is a token
 that two sets share with a probability of their similarity.  A run splits the sets by
 the token at a sampled coordinate, and splits what is still large by further
-ones; a bucket of at most ``SMALL`` sets, or one still larger after ``DEPTH`` splits (whose
-sets are much alike), is compared by brute force, large ones in pairs of blocks.
+ones; a bucket of at most ``SMALL`` sets, or one still larger after ``DEPTH`` splits (fewer at
+lower thresholds, ``depth_of``), is compared by brute force, large ones in pairs of blocks.
 Runs come in rounds of ``RUNS`` and are repeated until the recall reaches the target.
 Each round estimates it on the data: from how many pairs that earlier rounds didn't hold
 one run of the round has, and how many two have, Chao's estimator gives how many no run
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from loomplan.llm.common import U64, cut, lowered, portions, scramble, shingle_codes, table, word_codes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Runs of a round, splits of a run, MinHash values of a set.
+#: Runs of a round, most splits of a run, MinHash values of a set.
 RUNS, DEPTH, COORDS = 16, 4, 64
+#: A run keeps a pair at the threshold together with this probability at least, if it has one split or more.
+TOGETHER = 0.4
 #: The estimated share of all links that ends the rounds.
 RECALL = 0.9995
 SMALL = 64
@@ -43,15 +45,26 @@ SMALL = 64
 BLOCK = 256
 #: Bucket members in a bundle on average: what one call of a task looks at.
 BUNDLE = 4_096
-#: Pairs under this estimate are not verified: five standard deviations under the threshold.
-LIKELY = 0.55
 XORS, FACTORS = scramble(np.arange(COORDS), 21), scramble(np.arange(COORDS), 22) | U64(1)
 
 
-def splits(run: int) -> list[int]:
-    """The coordinates of a run in the order of its splits; each is in one of COORDS / DEPTH runs."""
-    turn, at = divmod(run, COORDS // DEPTH)
-    return np.argsort(scramble(np.arange(COORDS), 100 + turn))[at * DEPTH : (at + 1) * DEPTH].tolist()
+def depth_of(threshold: float) -> int:
+    """Splits of a run: as many as keep a pair at the threshold together with ``TOGETHER``, one to ``DEPTH``.
+
+    Four at 0.8, two at 0.65, one at 0.5: fewer splits of larger buckets find what is less alike.
+    """
+    return next((d for d in range(DEPTH, 1, -1) if threshold**d >= TOGETHER), 1)
+
+
+def likely_share(threshold: float) -> float:
+    """Pairs whose signatures agree less are not verified: five standard deviations under the threshold."""
+    return threshold - 5 * (threshold * (1 - threshold) / COORDS) ** 0.5
+
+
+def splits(run: int, depth: int = DEPTH) -> list[int]:
+    """The coordinates of a run in the order of its splits; each is in one of COORDS / depth runs."""
+    turn, at = divmod(run, COORDS // depth)
+    return np.argsort(scramble(np.arange(COORDS), 100 + turn))[at * depth : (at + 1) * depth].tolist()
 
 
 def sets_of(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -99,27 +112,27 @@ def set_key(codes: np.ndarray) -> bytes:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
 
 
-def leaves(reps: DataFrame, runs: range) -> DataFrame:
+def leaves(reps: DataFrame, runs: range, depth: int = DEPTH) -> DataFrame:
     """(rep, run, leaf, n): the bucket of at least two sets in which each set ends, for each run."""
     paths = []
     for r in runs:
         steps, path = [], F.lit(r).cast("long")
-        for c in splits(r):
+        for c in splits(r, depth):
             path = F.xxhash64(path, F.substring("sig", c * 4 + 1, 4))
             steps.append(path)
         paths.append(F.struct(F.lit(r).alias("run"), F.array(*steps).alias("path")))
     rows = reps.select("rep", F.explode(F.array(*paths)).alias("x")).select("rep", "x.run", "x.path")
     out = None
-    for level in range(DEPTH):
+    for level in range(depth):
         step = rows.withColumn("leaf", F.get("path", F.lit(level)))
         # Written, so that the join meets plain rows on both sides and a large bucket can be split.
         counts = cut(step.groupBy("run", "leaf").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
         step = cut(step.join(counts, ["run", "leaf"]), f"split-{level}")
-        ended = step if level == DEPTH - 1 else step.where(F.col("n") <= SMALL)
+        ended = step if level == depth - 1 else step.where(F.col("n") <= SMALL)
         ended = ended.select("rep", "run", "leaf", "n")
         out = ended if out is None else out.unionByName(ended)
         rows = step.where(F.col("n") > SMALL).select("rep", "run", "path")
-        if level < DEPTH - 1 and rows.isEmpty():
+        if level < depth - 1 and rows.isEmpty():
             break
     return out
 
@@ -170,6 +183,8 @@ def _likely(first_run: int, threshold: float):
     the threshold or more: all, those in one run of this round, and those in two.
     """
 
+    least = likely_share(threshold) * COORDS
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, group = _sorted(pdf)
         vectors, runs = np.stack(pdf["vector"].to_numpy()), pdf["run"].to_numpy()
@@ -178,7 +193,7 @@ def _likely(first_run: int, threshold: float):
         seen = np.zeros(3, dtype=np.int64)
         for i, j in _pairs(pdf, group):
             alike = (sig[i] == sig[j]).sum(axis=1)
-            near = alike >= LIKELY * COORDS
+            near = alike >= least
             i, j, alike = i[near], j[near], alike[near]
             shared = _shared_runs(vectors, i, j)
             new = shared.argmax(axis=1) == runs[i]
@@ -315,7 +330,7 @@ def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
     pairs, start = 0, 0
     while True:
         runs = range(start, start + RUNS)
-        new = cut(leaves(alive.select("rep", "sig"), runs), "leaves")
+        new = cut(leaves(alive.select("rep", "sig"), runs, depth_of(threshold)), "leaves")
         members = new if members is None else members.unionByName(new)
         links, seen = _links(texts, members, new, alive, runs, threshold, width)
         found = links if found is None else found.unionByName(links)

@@ -57,8 +57,15 @@ TEMPLATES["ISC full"] = f"{TEMPLATES['ISC']} {AS_IS_ISC}"
 
 
 def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Licence texts of a folder, each file's name without its suffix as the licence; at most 2,000 files of 1 MB."""
-    files = spark.read.format("binaryFile").load(folder).where("length <= 1048576").select("path", "content").limit(2_001).collect()
+    """Licence texts of a folder, each file's name without its suffix as the licence.
+
+    More than 2,000 files, or one of more than 1 MB, are an error.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    large = files.where("length > 1048576").select("path").first()
+    if large:
+        raise ValueError(f"{large['path']} is larger than 1 MB")
+    files = files.select("path", "content").limit(2_001).collect()
     if len(files) > 2_000:
         raise ValueError("more than 2,000 templates")
     return {r["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]: bytes(r["content"]).decode("utf-8", "replace") for r in files}

@@ -182,6 +182,30 @@ def test_jaccard_recall_in_a_large_bucket(spark):
     assert 0 <= expected - found <= 0.001 * expected
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_jaccard_links_at_lower_thresholds(spark, threshold):
+    """Pairs all the way down to the threshold, against brute force."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(150):
+        t = words(rng, 100).split()
+        rows.append((2 * i, " ".join(t)))
+        for x in rng.sample(range(100), rng.randrange(1, 14)):
+            t[x] = f"edit{i}x{x}"
+        rows.append((2 * i + 1, " ".join(t)))
+    sets = [shingles(t) for _, t in rows]
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 300, 2)]
+    assert sum(threshold <= s < 0.8 for s in share) > 20
+    found = sum(r["n_links"] for r in jaccard_join.jaccard_classes(docs_of(spark, rows), threshold=threshold).collect())
+    assert found == 2 * sum(s >= threshold for s in share)
+
+
+def test_jaccard_parameters_by_threshold():
+    assert [jaccard_join.depth_of(t) for t in (0.95, 0.8, 0.65, 0.5, 0.3)] == [4, 4, 2, 1, 1]
+    assert jaccard_join.likely_share(0.8) == pytest.approx(0.55)
+    assert sorted(c for r in range(16) for c in jaccard_join.splits(r)) == list(range(64))
+
+
 # --- op 1 -----------------------------------------------------------------
 
 
@@ -529,6 +553,14 @@ def test_training_rows_stay_bounded(spark):
     assert seen[0] <= 2 and seen[1] <= 8
 
 
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("some terms")
+    assert license_scan.read_templates(spark, str(tmp_path)) == {"a": "some terms"}
+    (tmp_path / "b.txt").write_text("x" * 1_048_577)
+    with pytest.raises(ValueError, match="larger than 1 MB"):
+        license_scan.read_templates(spark, str(tmp_path))
+
+
 def test_whole_licenses_and_repeated_bigrams(spark):
     rng = random.Random(20)
     full = license_scan.TEMPLATES["BSD-3-Clause full"]
