@@ -7,7 +7,8 @@ first; each class keeps its positions in order.  Two positions that become neigh
 when classes unite at LCP L, at a distance d <= L, have the period d over d + L words, and
 no smaller one: a position between them would otherwise be of their class.  If the words
 before them differ too, that is a whole run, and every run is found so, once.  Smaller
-classes go into larger ones, so a document of n words takes O(n log n) steps.
+classes go into larger ones, so uniting takes O(n log n) steps in a document of n words;
+before it, suffixes are sorted once for each doubling of the longest repeat.
 
 Runs of at least ``LEAST`` words have L >= LEAST / 2, so a document in which no stretch
 of LEAST / 2 words repeats has none; most end there, on arrays of whole batches.
@@ -175,7 +176,8 @@ def word_runs(docs: DataFrame, *, least: int = LEAST, plant: bool = False) -> Da
 
     Null, empty and blank texts have no words, no runs and an empty collapsed text.
     A null doc_id is a row like others, never planted.  Repeated rows give repeated
-    results.  Very long texts are read whole, in O(n log n) steps of one task.  An empty
+    results.  Very long texts are read whole, each in one task: a million
+    words took one second where nothing repeats and twelve to seventeen where all does.  An empty
     table gives no rows; extra columns are ignored, also those named as the results.
     """
 
