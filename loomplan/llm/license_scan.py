@@ -13,6 +13,8 @@ coefficient, as are starts with too few of them within the longest span.
 from __future__ import annotations
 
 import bisect
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,42 +78,59 @@ def normalised(text: str | None) -> bytes:
 
 
 def spans(where: np.ndarray, codes: np.ndarray, size: int, threshold: float, times: dict[int, int] | None = None) -> list[tuple[int, int, float]]:
-    """Disjoint (first bigram, last bigram, Dice) of spans that reach the threshold, best first.
+    """Disjoint (first bigram, last bigram, Dice) of spans that reach the threshold, best first, in order of place.
 
     where, codes: places and codes of a text's bigrams that the template of ``size`` bigrams
     has too; times: how often it has each, once if not said.  The best span starts and
-    ends at such a place.
+    ends at such a place.  Only the best end of each start is held; where a better span
+    takes that end, the start looks again for one before it.  A span of the threshold is
+    two thirds as long as the longest or more, so a start looks again a few times at most, and
+    the time grows with the text.
     """
-    low, high = threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
+    low, high = math.ceil(threshold / (2 - threshold) * size - 1e-9), math.floor((2 - threshold) / threshold * size + 1e-9)
+    ends = np.searchsorted(where, where + high, side="left")
+    spent = _spent(codes, times)
+
+    def best(i: int, end: int) -> tuple[float, int, int] | None:
+        """Best span from ``i`` that ends before ``end``: (minus Dice, first, last), the shortest of equals."""
+        length = where[i:end] - where[i] + 1
+        dice = np.where(length >= low, 2 * np.cumsum(spent[i:end] < i) / (length + size), 0.0)
+        j = int(dice.argmax())
+        return (-float(dice[j]), i, i + j) if dice[j] >= threshold else None
+
     # A span shares low bigrams or more, all within the longest span from its start.
-    reach = np.searchsorted(where, where + high, side="left")
-    found = []
-    for i in np.flatnonzero(reach - np.arange(len(where)) >= low - 1e-9).tolist():
-        seen: dict[int, int] = {}
-        shared = 0
-        for j in range(i, len(where)):
-            length = int(where[j] - where[i]) + 1
-            if length > high:
-                break
-            code = int(codes[j])
-            n = seen[code] = seen.get(code, 0) + 1
-            shared += n <= (times[code] if times else 1)
-            dice = 2 * shared / (length + size)
-            if length >= low and dice >= threshold:
-                found.append((-dice, int(where[i]), int(where[j])))
-    return _disjoint(sorted(found))
-
-
-def _disjoint(found: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
-    """The best spans that don't overlap a better one, in order of place."""
-    starts: list[int] = []
-    out: list[tuple[int, int, float]] = []
-    for minus, a, b in found:
-        at = bisect.bisect_right(starts, b)
-        # Kept spans are disjoint and in order: only the last that starts by b can overlap.
-        if not at or out[at - 1][1] < a:
-            starts.insert(at, a)
-            out.insert(at, (a, b, -minus))
+    starts = np.flatnonzero(ends - np.arange(len(where)) >= low)
+    heap = [found for i in starts.tolist() if (found := best(i, int(ends[i])))]
+    heapq.heapify(heap)
+    firsts: list[int] = []
+    kept: list[tuple[int, float]] = []
+    while heap:
+        minus, i, j = heapq.heappop(heap)
+        # Kept spans are disjoint and in order: one that holds i starts by it, the next one may cut the end.
+        at = bisect.bisect_right(firsts, i)
+        if at and kept[at - 1][0] >= i:
+            continue
+        if at < len(firsts) and firsts[at] <= j:
+            if shorter := best(i, firsts[at]):
+                heapq.heappush(heap, shorter)
+            continue
+        firsts.insert(at, i)
+        kept.insert(at, (j, -minus))
+    return [(int(where[i]), int(where[j]), dice) for i, (j, dice) in zip(firsts, kept)]
+
+
+def _spent(codes: np.ndarray, times: dict[int, int] | None) -> np.ndarray:
+    """For each bigram the index from which on a span has used up the template's equal ones before it, or -1.
+
+    It adds to what a span shares if the span starts after that index.
+    """
+    own, place = np.unique(codes, return_inverse=True)
+    often = np.array([times[c] if times else 1 for c in own.tolist()], dtype=np.int64)[place] if len(own) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(place, kind="stable")
+    before = np.arange(len(codes)) - often[order]
+    same = (before >= 0) & (place[order[np.maximum(before, 0)]] == place[order])
+    out = np.full(len(codes), -1, dtype=np.int64)
+    out[order[same]] = order[before[same]]
     return out
 
 
@@ -154,7 +173,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     earlier.  Where a span matches several templates, there is a row for each.
     Null, empty and one-word texts match nothing; repeated rows give repeated matches,
     and null ids stay null; equal coefficients go to the earlier, shorter span.  Very long
-    texts are searched whole, in time that grows with the bigrams they share.  Extra
+    texts are searched whole, in time that grows with the bigrams they share: repeated
+    licences take some seconds a MB.  Extra
     columns are ignored.  A template of fewer than two words never matches.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
@@ -176,10 +196,11 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
                 likely, place = likely[hit], place[hit]
                 ends = np.cumsum(sizes)
                 text = np.searchsorted(ends, likely, side="right")
-                for i in np.unique(text).tolist():
+                found, begins = np.unique(text, return_index=True)
+                for i, first_hit, last_hit in zip(found.tolist(), begins.tolist(), [*begins.tolist()[1:], len(text)]):
                     if counts[i] < 2:
                         continue
-                    own = text == i
+                    own = slice(first_hit, last_hit)
                     where, which = likely[own] - (ends[i] - sizes[i]), place[own]
                     for k in known.likely(which, threshold):
                         times = known.times[k]

@@ -1,9 +1,11 @@
 """Small cases and brute-force versions for the operators on texts."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -390,6 +392,38 @@ def test_license_spans_against_brute_force():
             assert math.isclose(max(d for _, _, d in got), best)
 
 
+def test_license_spans_equal_all_pairs_best_first():
+    """Every (start, end) in order of coefficient, start and end; those that overlap a taken one go."""
+    rng = random.Random(19)
+    for _ in range(300):
+        size = rng.choice([3, 6, 9])
+        times = {c: rng.choice([1, 1, 2]) for c in range(size)}
+        total, threshold = sum(times.values()), rng.choice([0.5, 0.8])
+        text = [rng.choice([*range(size), *range(size), 99]) for _ in range(rng.randrange(2, 60))]
+        where = np.array([i for i, c in enumerate(text) if c in times], dtype=np.int64)
+        got = license_scan.spans(where, np.array([text[i] for i in where], dtype=np.int64), total, threshold, times)
+        pairs = []
+        for a, b in itertools.combinations_with_replacement(where.tolist(), 2):
+            shared = sum(min(n, times.get(c, 0)) for c, n in Counter(text[a : b + 1]).items())
+            if (dice := 2 * shared / (b - a + 1 + total)) >= threshold:
+                pairs.append((-dice, a, b))
+        taken = []
+        for minus, a, b in sorted(pairs):
+            if all(b < c or d < a for c, d, _ in taken):
+                taken.append((a, b, -minus))
+        assert got == sorted(taken)
+
+
+def test_repeated_licenses_in_a_long_text(spark):
+    """A text of 400 kB that is one licence again and again: every copy is found, in seconds."""
+    mit = license_scan.TEMPLATES["MIT"]
+    begun = time.monotonic()
+    got = license_scan.license_matches(docs_of(spark, [(1, f"{mit}\n" * 600)]), {"MIT": mit}).collect()
+    n = len(license_scan.normalised(mit).split())
+    assert sorted((r["first_word"], r["n_words"]) for r in got) == [(i * n, n) for i in range(600)]
+    assert all(r["dice"] == 1 for r in got) and time.monotonic() - begun < 30
+
+
 # --- op 10 ----------------------------------------------------------------
 
 
