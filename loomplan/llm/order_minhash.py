@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomplan.llm.common import table
+from loomplan.llm.common import cut, table
 
 #: 2**6 bins; the bin is the top of a 63-bit value: 35 bits of hash, 28 of position.  A
 #: text has fewer words than 2**28, as an array of more longs isn't possible.
@@ -24,8 +24,8 @@ BIN_BITS, PLACE_BITS = 6, 28
 #: Code points of a word that is cut no further, and where longer ones are.
 LONGEST = 32
 CUTS = r"(?<=[^\x00-\x7F])|(?<=[aeiouAEIOU0-3,;:(){}\[\]<>/+=_.-])|(?<=\G.{32})"
-#: Documents in a bucket of neighbouring ids on average, and the most buckets.
-BUCKET, MOST_BUCKETS = 512, 1 << 16
+#: Documents in a range of neighbouring ids on average; and equal rows that are written out together.
+BUCKET, CHUNK = 100_000, 10_000
 
 
 def _words(text: Column) -> Column:
@@ -85,36 +85,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], *, bucket: int = BUCKET) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], *, bucket: int = BUCKET, heads: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``next_<column>`` of the row that follows in ascending ``key``; the first follows the last.
 
-    Rows are dealt to buckets of neighbouring keys by approximate quantiles (at
-    most ``MOST_BUCKETS``), and each bucket also gets a copy of the first row of
-    the next one, so no task orders the whole table.  A null key comes first.
-    Equal keys are ordered by ``columns``.
+    A null key comes first.  Rows of one key go by the first code points of the first
+    column, then by its hash; the other columns follow from that column.  The result has
+    ``key`` and ``columns``.  heads: of such a column, only as many first code points as the
+    row before asks for travel to it.
+
+    Places are found from keys and hashes alone, in ranges of about ``bucket`` rows, so a key
+    that repeats with many texts is spread over tasks.  Rows of one key and text are
+    counted before they are shuffled, and follow each other.
     """
-    order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.count()
-    depth = max(0, min(MOST_BUCKETS, -(-rows // bucket)) - 1).bit_length()
-    cuts = docs.select(order.cast("double").alias("k")).approxQuantile("k", [i / (1 << depth) for i in range(1, 1 << depth)], 1 / (1 << (depth + 3))) if depth and rows else []
-    base = docs.withColumn("_key", order)
-    if cuts:
-        bounds = F.lit([float(c) for c in cuts])
-        steps = F.array(*[F.lit(1 << b) for b in range(depth - 1, -1, -1)])
-        place = lambda k: F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(bounds, n + step - 1) < k.cast("double"), n + step).otherwise(n))
-    else:
-        place = lambda k: F.lit(0)
-    firsts = docs.select(order.alias("_first")).withColumn("_bucket", place(F.col("_first"))).groupBy("_bucket").agg(F.min("_first").alias("_first"))
-    # At most MOST_BUCKETS rows of two numbers.
-    firsts = firsts.select("_first", F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy())).alias("_guest"))
-    both = base.join(F.broadcast(firsts), F.col("_key") == F.col("_first"), "left")
-    both = both.withColumn("_bucket", place(F.col("_key")))
-    places = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")))
-    places = F.when(F.col("_guest").isNotNull(), F.concat(places, F.array(F.struct(F.col("_guest").alias("b"), F.lit(True).alias("g"))))).otherwise(places)
-    dealt = both.withColumn("_at", F.explode(places)).drop("_bucket", "_first", "_guest")
-    window = Window.partitionBy("_at.b").orderBy("_at.g", "_key", *columns)
-    out = dealt.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return out.where(~F.col("_at.g")).drop("_at", "_key")
+    heads, content = heads or {}, F.col(columns[0])
+    by = ["_key", "_a", "_b"]
+    keyed = docs.select(key, *columns, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_key"),
+        F.xxhash64(F.col(key).isNull(), content).alias("_a"), F.xxhash64(F.lit("second"), content).alias("_b"))
+    order = ["_key", "_head", "_a", "_b"]
+    asks = {c: f"_ask_{c}" for c in heads}
+    narrow = keyed.select("_key", F.substring(content.cast("string"), 1, 32).alias("_head"), "_a", "_b", *[heads[c].alias(name) for c, name in asks.items()])
+    portions = max(1, -(-docs.count() // bucket))
+    placed = cut(narrow.distinct().repartitionByRange(portions, *order).withColumn("_portion", F.spark_partition_id()), "places")
+    # One row for each of the ``portions`` tasks.
+    firsts = placed.groupBy("_portion").agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = firsts.select("_portion", F.coalesce(F.lead("_first").over(Window.orderBy("_portion")), F.min("_first").over(Window.partitionBy())).alias("_after"))
+    following = F.coalesce(F.lead(F.struct(*order)).over(Window.partitionBy("_portion").orderBy(*order)), F.col("_after"))
+    steps = placed.join(F.broadcast(firsts), "_portion").withColumn("_next", following)
+    steps = steps.select(*[F.col(f"_next.{c}").alias(c) for c in by], *[F.col(c).alias(f"{c}_to") for c in by], *asks.values())
+    whole = keyed.groupBy(*by).agg(F.first(key).alias(key), *[F.first(c).alias(c) for c in columns], F.count("*").alias("_n"))
+    given = [F.substring(F.col(c), F.lit(1), F.col(asks[c])) if c in asks else F.col(c) for c in columns]
+    gifts = whole.join(steps, by).select(*[F.col(f"{c}_to").alias(c) for c in by], *[g.alias(f"next_{c}") for g, c in zip(given, columns)])
+    out = whole.join(gifts, by)
+    # Of n equal rows all but the last are followed by one like themselves.
+    out = out.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))))
+    out = out.withColumn("_i", F.explode(F.sequence(F.col("_chunk") * CHUNK + 1, F.least("_n", (F.col("_chunk") + 1) * CHUNK))))
+    own = [F.substring(F.col(c), F.lit(1), heads[c]) if c in heads else F.col(c) for c in columns]
+    return out.select(key, *columns, *[F.when(F.col("_i") < F.col("_n"), o).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for o, c in zip(own, columns)])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,16 +129,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n/4) code points replaced by the first as
     many (or all) of the next document by doc_id.  Null text counts as empty; two
     texts without words have equal, empty fingerprints and likeness 1.  Rows of
-    one doc_id follow each other in order of text; a lone document is its own
-    next.  An empty table gives no rows; extra columns are ignored, also those named as
+    one doc_id follow each other by their first 32 code points, then by a hash of the
+    text; a lone document is its own next.  Rows without an id come first.  An empty table gives no rows; extra columns are ignored, also those named as
     results.  Equal texts have equal fingerprints, and ties of hashes go by position.
     Very long texts are arrays of their words, of any number that a row can hold.
     """
     own = with_signature(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "text", "sig")
-    pairs = with_next(own, "doc_id", ["text", "sig"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"), "sig", "next_sig")
+    pairs = with_next(own, "doc_id", ["text", "sig"], heads={"text": quarter})
+    edited = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.col("next_text")).alias("edited"), "sig", "next_sig")
     out = with_signature(edited, "edited", "edited_sig")
     return out.select(
         "doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("edited_sig")).alias("edited_fingerprint"),

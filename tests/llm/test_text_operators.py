@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -464,6 +465,32 @@ def test_next_row_over_many_buckets(spark):
     assert got == {k: f"t{n}" for k, n in zip(keys, keys[1:] + keys[:1])}
 
 
+def test_next_row_of_hot_and_repeated_keys(spark):
+    """1,000 rows without an id, and equal rows: a cycle through all rows in several ranges, heads as asked for."""
+    rng = random.Random(22)
+    rows = [(None, words(rng, 6)) for _ in range(1000)] + [(i, words(rng, 6)) for i in range(200)] + [(7, "same text")] * 50 + [(None, "")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    head = (F.length("text") / 4).cast("int")
+    got = order_minhash.with_next(df, "doc_id", ["text"], bucket=100).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows) and Counter(r["next_text"] for r in got) == Counter(t for _, t in rows)
+    rank = lambda i: -1 if i is None else i
+    of = {t: i for i, t in rows}
+    assert all(rank(of[r["next_text"]]) - rank(r["doc_id"]) in (0, 1) for r in got if r["doc_id"] != 199)
+    assert [of[r["next_text"]] for r in got if r["doc_id"] == 199] == [None]
+    assert sum(r["next_text"] == "same text" for r in got if r["text"] == "same text") == 49
+    cutoff = order_minhash.with_next(df, "doc_id", ["text"], bucket=100, heads={"text": head}).collect()
+    assert Counter((r["text"], r["next_text"]) for r in cutoff) == Counter((r["text"], r["next_text"][: len(r["text"]) // 4]) for r in got)
+    assert max(Counter(r["_portion"] for r in _places(spark, df)).values()) < 400
+
+
+def _places(spark, df):
+    """Rows of the last places that were written, with their range."""
+    folder = order_minhash.cut(df.limit(0), "probe").inputFiles() or [order_minhash.cut(df.limit(1), "probe").inputFiles()[0]]
+    root = folder[0].split("probe-")[0].removeprefix("file:")
+    last = max(Path("/" + root.lstrip("/")).glob("places-*"), key=lambda p: p.stat().st_mtime)
+    return spark.read.parquet(str(last)).collect()
+
+
 def test_fingerprints_run_no_python(spark, sf):
     plan = order_minhash.op10_order_minhash(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
