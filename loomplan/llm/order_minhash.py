@@ -112,7 +112,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str], *, bucket: int = BU
     following = F.coalesce(F.lead(F.struct(*order)).over(Window.partitionBy("_portion").orderBy(*order)), F.col("_after"))
     steps = placed.join(F.broadcast(firsts), "_portion").withColumn("_next", following)
     steps = steps.select(*[F.col(f"_next.{c}").alias(c) for c in by], *[F.col(c).alias(f"{c}_to") for c in by], *asks.values())
-    whole = keyed.groupBy(*by).agg(F.first(key).alias(key), *[F.first(c).alias(c) for c in columns], F.count("*").alias("_n"))
+    whole = keyed.groupBy(*by).agg(*[F.first(c).alias(c) for c in columns], F.count("*").alias("_n"), F.count(key).alias("_ids"))
+    # Both sides of the join read all columns of ``whole``, so that Spark shuffles it once for both.
+    whole = whole.where(F.col("_n") + F.col("_ids") > 0)
     given = [F.substring(F.col(c), F.lit(1), F.col(asks[c])) if c in asks else F.col(c) for c in columns]
     gifts = whole.join(steps, by).select(*[F.col(f"{c}_to").alias(c) for c in by], *[g.alias(f"next_{c}") for g, c in zip(given, columns)])
     out = whole.join(gifts, by)
@@ -120,7 +122,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], *, bucket: int = BU
     out = out.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))))
     out = out.withColumn("_i", F.explode(F.sequence(F.col("_chunk") * CHUNK + 1, F.least("_n", (F.col("_chunk") + 1) * CHUNK))))
     own = [F.substring(F.col(c), F.lit(1), heads[c]) if c in heads else F.col(c) for c in columns]
-    return out.select(key, *columns, *[F.when(F.col("_i") < F.col("_n"), o).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for o, c in zip(own, columns)])
+    return out.select(F.when(F.col("_ids") > 0, F.col("_key")).cast(docs.schema[key].dataType).alias(key), *columns, *[F.when(F.col("_i") < F.col("_n"), o).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for o, c in zip(own, columns)])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
