@@ -95,7 +95,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str], *, bucket: int = BU
 
     Places are found from keys and hashes alone, in ranges of about ``bucket`` rows, so a key
     that repeats with many texts is spread over tasks.  Rows of one key and text are
-    counted before they are shuffled, and follow each other.
+    counted before they are shuffled, and follow each other; one task writes them out again,
+    row by row.
     """
     heads, content = heads or {}, F.col(columns[0])
     by = ["_key", "_a", "_b"]
