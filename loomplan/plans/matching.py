@@ -22,7 +22,7 @@ def retrieved(left: DataFrame, right: DataFrame, policy: MatchPolicy) -> DataFra
     side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.col("item_type").alias(f"{s}_item_type"), F.col("design").alias(f"{s}_design"), *[F.col(f).alias(f"{s}_{f}") for f in FEATURES])
     both = pairs.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
     detail = clamp(1 - inner_product(F.col("left_detail"), F.col("right_detail")), 0.0, 2.0)
-    out = both.withColumns({"fashion_distance": F.round("fashion_raw", 7), "pattern_distance": detail, "colour_distance": sim.palette_distance("left_palette", "right_palette"), "texture_raw": cosine_distance(F.col("left_texture"), F.col("right_texture"))})
+    out = both.withColumns({"fashion_distance": F.round("fashion_raw", 7), "pattern_distance": detail, "colour_distance": sim.palette_distance("left_palette", "right_palette", policy.palette_least), "texture_raw": cosine_distance(F.col("left_texture"), F.col("right_texture"))})
     return out.drop("left_palette", "right_palette", "left_detail", "right_detail", "left_texture", "right_texture")
 
 

@@ -41,6 +41,7 @@ class MatchPolicy:
     pattern_limit: float = 0.42
     colour_gate: bool = True
     colour_limit: float = 0.20
+    palette_least: float = 1e-6
     detail_weight: float = 0.5833333333
     neural_weight: float = 0.45
     colour_weight: float = 0.45

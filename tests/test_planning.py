@@ -130,6 +130,21 @@ def test_palette_distance(spark):
     assert got[0] == 0 and got[1] > 0.2 and got[2:] == [0.0, 2.0, None]
 
 
+def test_light_palette_entries_count_as_in_the_sql(spark, tmp_path):
+    """A weight under 1e-6 is a colour like any other in the tables' palettes."""
+    import duckdb
+
+    v = np.random.default_rng(6).normal(size=(3, 64)) / 8
+    v[1, 3], v[2, 7] = 1e-7, -3e-7
+    spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(3).selectExpr("id as p_partkey", "'T' as p_type", "'B' as p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    for t in ("part", "embeddings"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = db.execute(__spark_entry__.oracle_sql()["palette_distance"]).fetchall()
+    assert sorted(map(tuple, QUERIES["palette_distance"](spark, str(tmp_path)).collect())) == sorted(expected)
+
+
 CSV = "product_id,season,item_type,style_code,colour_code,design,category_type,fabric,colour,collection_world\n"
 
 
