@@ -211,8 +211,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column, n: Column | None = None) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    n = norm(a) if n is None else n
-    return F.transform(a, lambda x: F.when(n > 1e-12, x.cast("double") / n).otherwise(x.cast("double")))
+    unit = lambda v, n: F.transform(v, lambda x: F.when(n > 1e-12, x.cast("double") / n).otherwise(x.cast("double")))
+    # Both bound once: named inside the transform they would be computed for each element.
+    return let(a, lambda v: let(norm(v) if n is None else n, lambda m: unit(v, m)))
 
 
 def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:

@@ -82,3 +82,10 @@ def test_colour(spark):
     assert (l, a, b) == pytest.approx((100, 0, 0), abs=0.02)
     zero, unit = (F.array(*lit(*v)) for v in ((0, 0), (1, 0)))
     assert [one(spark, num.cosine_distance(*x)) for x in ((zero, zero), (zero, unit), (unit, unit))] == [0, 1, 0]
+
+
+def test_a_vector_is_measured_once(spark):
+    """And not for each of its elements."""
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(num.l2_normalize(F.col("v")).alias("u"))
+    assert [r["u"] for r in rows.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert rows._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
