@@ -87,3 +87,14 @@ def test_calibration_hands_on_few_counts(spark, monkeypatch):
             monkeypatch.setattr(similarity, "MOST_COUNTS", most)
             assert similarity.all_pairs_calibration(left, right, block=16) == pytest.approx((d.size, median, max((high - low) / (2 * np.log(9)), 1e-4)), abs=1e-9)
     assert similarity.all_pairs_calibration(left.limit(0), right) == (0, 0.5, 0.1)
+
+
+def test_a_query_hands_on_its_best_once_for_each_portion(spark):
+    """And not for each cell that it meets."""
+    rng = np.random.default_rng(8)
+    h, q = unit(rng.normal(size=(300, 30))), unit(rng.normal(size=(5, 30)))
+    cohort = lambda df: df.withColumn("cohort", F.lit("all"))
+    cells = Cells(cohort(items(spark, "H", h)), 16)
+    assert cells.known.count() > 20
+    most = cells.best(cohort(items(spark, "Q", q)), 5).groupBy("left_id").count().agg(F.max("count")).first()[0]
+    assert most <= 5 * -(-300 // (16 * 16))
