@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomplan.operators import similarity
-from loomplan.operators.pruned import Cells
+from loomplan.operators.pruned import Cells, portions
 
 SCHEMA = "id string, ordinal long, item_type string, design string, vector array<double>"
 
@@ -98,3 +98,19 @@ def test_a_query_hands_on_its_best_once_for_each_portion(spark):
     assert cells.known.count() > 20
     most = cells.best(cohort(items(spark, "Q", q)), 5).groupBy("left_id").count().agg(F.max("count")).first()[0]
     assert most <= 5 * -(-300 // (16 * 16))
+
+
+def test_rows_of_large_tables_are_shuffled_a_few_times(spark):
+    sizes = spark.createDataFrame([(100,), (20_000,), (480_000,)], "n long").select(portions(F.col("n"), similarity.BLOCK))
+    assert [r[0] for r in sizes.collect()] == [1, 5, 8]
+
+
+def test_a_wrong_guess_of_the_ranges_costs_only_another_count(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    h = unit(rng.normal(size=(60, 6)))
+    rows, apart = items(spark, "H", h), ~np.eye(60, dtype=bool)
+    d = np.round(np.clip(1 - h @ h.T, 0, 2), 7)[apart]
+    low, median, high = np.percentile(d, [10, 50, 90])
+    for guess in (1, 1_024):
+        monkeypatch.setattr(similarity, "GUESS", guess)
+        assert similarity.all_pairs_calibration(rows, rows, others=True) == pytest.approx((3540, median, (high - low) / (2 * np.log(9))), abs=1e-9)
