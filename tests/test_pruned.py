@@ -114,3 +114,9 @@ def test_a_wrong_guess_of_the_ranges_costs_only_another_count(spark, monkeypatch
     for guess in (1, 1_024):
         monkeypatch.setattr(similarity, "GUESS", guess)
         assert similarity.all_pairs_calibration(rows, rows, others=True) == pytest.approx((3540, median, (high - low) / (2 * np.log(9))), abs=1e-9)
+
+
+def test_all_distances_rank_nothing(spark, sf):
+    from loomplan.plans.queries import QUERIES
+
+    assert "Window" not in QUERIES["all_pairs_distance"](spark, sf)._jdf.queryExecution().executedPlan().toString()
