@@ -145,15 +145,27 @@ def planner_state(log: DataFrame) -> DataFrame:
     choosing an analogue, or a reset, clears the product's override and approval; an
     override clears its approval.  Products with neither have no row.
     """
-    last = lambda *kinds: F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))), F.lit(-1))
-    settings = log.groupBy("plan_id").agg(last("settings").alias("cleared"))
-    own = log.where(F.col("kind").isin("override", "choose", "reset", "approve")).groupBy("plan_id", "id").agg(
-        last("override").alias("overridden"), last("choose", "reset").alias("undone"), last("approve").alias("approved_at"),
-        F.max_by("quantity", F.when(F.col("kind") == "override", F.col("seq"))).alias("quantity"))
-    both = own.join(settings, "plan_id")
+    settings = log.groupBy("plan_id").agg(last_step("settings").alias("cleared"))
+    own = log.where(F.col("kind").isin("override", "choose", "reset", "approve")).groupBy("plan_id", "id").agg(*last_steps())
+    return standing(own.join(settings, "plan_id"))
+
+
+def last_step(*kinds: str) -> Column:
+    """The greatest seq of a group's steps of these kinds, -1 without any."""
+    return F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))), F.lit(-1))
+
+
+def last_steps() -> list[Column]:
+    """Of a product's steps: the last override and its quantity, the last that undid one, the last approval."""
+    quantity = F.max_by("quantity", F.when(F.col("kind") == "override", F.col("seq")))
+    return [last_step("override").alias("overridden"), last_step("choose", "reset").alias("undone"), last_step("approve").alias("approved_at"), quantity.alias("quantity")]
+
+
+def standing(products: DataFrame) -> DataFrame:
+    """Overrides and approvals that hold, from ``last_steps`` of each product and when its plan was last cleared."""
     holds = (F.col("overridden") > F.col("undone")) & (F.col("overridden") > F.col("cleared"))
     approved = F.col("approved_at") > F.greatest("overridden", "undone", "cleared")
-    out = both.select("plan_id", "id", F.when(holds, F.col("quantity")).alias("override_quantity"), approved.alias("approved"))
+    out = products.select("plan_id", "id", F.when(holds, F.col("quantity")).alias("override_quantity"), approved.alias("approved"))
     return out.where(F.col("override_quantity").isNotNull() | F.col("approved"))
 
 

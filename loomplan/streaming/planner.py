@@ -1,78 +1,38 @@
 """Overrides and approvals of plans, kept up to date by a stream of planners' steps.
 
-A plan's state says of each product when it was last overridden (and to what), undone and
-approved, and when settings last cleared the whole plan, in the planner's own numbering.
-Only the last of each counts, so steps may come late, repeated and in any order, and the
-state is as large as the plan.
+The state says of each product of a plan when it was last overridden (and to what), undone
+and approved, and of each plan when settings last cleared it, in the planner's own
+numbering.  Only the last of each counts, so steps may come late, repeated and in any
+order, and the state is as large as the plans.  A product is a group of its own, so a plan
+of many products is dealt over all tasks, and one that is cleared costs one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.window import Window
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Steps by kind: the field of a product's state that they move on.
-MOVES = {"override": 0, "choose": 2, "reset": 2, "approve": 3}
-UNSEEN = (-1, None, -1, -1)
-
+from pyspark.sql.streaming import StreamingQuery
 
-class Plans(StatefulProcessor):
-    """Takes the steps of plans, and gives each product that they touch as it stands then."""
+from loomplan.operators import recommend
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cleared = handle.getValueState("cleared", "seq long")
-        self.products = handle.getMapState("products", "id string", "overridden long, quantity long, undone long, approved long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        cleared = before = self.cleared.get()[0] if self.cleared.exists() else -1
-        known: dict[str, list] = {}
-        for batch in rows:
-            for seq, step, name, quantity in zip(batch["seq"], batch["kind"], batch["id"], batch["quantity"]):
-                if step == "settings":
-                    cleared = max(cleared, int(seq))
-                elif step in MOVES:
-                    product = "-" if name is None else f"+{name}"
-                    if product not in known:
-                        known[product] = list(self.products.getValue((product,)) if self.products.containsKey((product,)) else UNSEEN)
-                    at = MOVES[step]
-                    if seq > known[product][at]:
-                        known[product][at] = int(seq)
-                        if step == "override":
-                            known[product][1] = None if pd.isna(quantity) else int(quantity)
-        for product, state in known.items():
-            self.products.updateValue((product,), tuple(state))
-        if cleared != before:
-            # All products of the plan stand anew.
-            self.cleared.update((cleared,))
-            known |= {k[0]: list(v) for k, v in self.products.iterator() if k[0] not in known}
-        out = []
-        for product, (overridden, quantity, undone, approved) in known.items():
-            held = overridden > max(undone, cleared)
-            out.append((key[0], None if product == "-" else product[1:], quantity if held else None, approved > max(overridden, undone, cleared)))
-        frame = pd.DataFrame(out, columns=["plan_id", "id", "override_quantity", "approved"])
-        yield frame.astype({"override_quantity": "Int64"})
-
-    def close(self) -> None:
-        pass
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LAST = ("cleared", "overridden", "undone", "approved_at")
 
 
 def follow_plans(log: DataFrame, out: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Start keeping the state of plans from a stream of steps (plan_id, seq, kind, id, quantity).
 
-    What each micro-batch changes is written under its number, over an earlier try of it.
+    What each micro-batch changes is written under its number, over an earlier try of it:
+    the last steps of each product that it touches, and of each plan that it clears
+    (``whole``) when that was.
     """
     spark = log.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    schema = f"plan_id {log.schema['plan_id'].dataType.simpleString()}, id string, override_quantity long, approved boolean"
-    steps = log.select("plan_id", F.col("seq").cast("long").alias("seq"), "kind", F.col("id").cast("string").alias("id"), F.col("quantity").cast("long").alias("quantity"))
-    states = steps.groupBy("plan_id").transformWithStateInPandas(Plans(), schema, "Update", "None")
+    whole = F.col("kind") == "settings"
+    steps = log.where(F.col("kind").isin("settings", "override", "choose", "reset", "approve")).select(
+        "plan_id", whole.alias("whole"), F.when(~whole, F.col("id").cast("string")).alias("id"), "kind", F.col("seq").cast("long").alias("seq"), F.col("quantity").cast("long").alias("quantity"))
+    states = steps.groupBy("plan_id", "whole", "id").agg(recommend.last_step("settings").alias("cleared"), *recommend.last_steps())
     writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}"))
     spark.conf.set(name, ROCKSDB)
@@ -84,6 +44,10 @@ def follow_plans(log: DataFrame, out: str, checkpoint: str, *, once: bool = True
 
 def plans(spark: SparkSession, out: str) -> DataFrame:
     """(plan_id, id, override_quantity, approved) that hold, as ``recommend.planner_state`` gives them for the whole log."""
-    last = F.row_number().over(Window.partitionBy("plan_id", "id").orderBy(F.desc("batch_id")))
-    now = spark.read.parquet(out).withColumn("_n", last).where("_n = 1").drop("_n", "batch_id")
-    return now.where("override_quantity is not null or approved")
+    changes = spark.read.parquet(out)
+    # A later state of a group has no smaller numbers than an earlier one.
+    now = changes.groupBy("plan_id", "whole", "id").agg(*[F.max(c).alias(c) for c in LAST], F.max_by("quantity", "overridden").alias("quantity"))
+    products = now.where("not whole").drop("whole", "cleared")
+    cleared = now.where("whole").select(F.col("plan_id").alias("_plan"), F.col("cleared"))
+    found = products.join(cleared, F.col("plan_id").eqNullSafe(F.col("_plan")), "left").withColumn("cleared", F.coalesce("cleared", F.lit(-1)))
+    return recommend.standing(found)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomplan.operators import demand, recommend, similarity
+from loomplan.plans import queries
 from loomplan.plans.matching import Matching
 from loomplan.sources.stage import settle
 from loomplan.streaming import arrivals, planner
@@ -71,3 +72,32 @@ def test_plans_from_any_micro_batches(spark, tmp_path):
         spark.createDataFrame(events[a:b], LOG).coalesce(1).write.mode("append").parquet(source)
         planner.follow_plans(spark.readStream.schema(LOG).parquet(source), out, state).awaitTermination()
     assert sorted(map(tuple, planner.plans(spark, out).collect()), key=repr) == expected
+
+
+def test_a_cleared_plan_costs_one_row_of_state(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    first = [(1, i, "override", f"p{i}", i) for i in range(200)] + [(2, 0, "override", "a", 7), (2, 1, "approve", "a", None)]
+    # An override from before the plan was cleared comes after that, and changes nothing.
+    rounds = [first, [(1, 300, "settings", None, None)], [(1, 299, "override", "p3", 5), (1, 301, "approve", "p4", None)]]
+    for rows in rounds:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
+        planner.follow_plans(spark.readStream.schema(LOG).parquet(source), out, state).awaitTermination()
+    changed = {r["batch_id"]: r["n"] for r in spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    assert changed == {0: 201, 1: 1, 2: 2}
+    assert sorted(map(tuple, planner.plans(spark, out).collect())) == [(1, "p4", None, True), (2, "a", 7, True)]
+    assert planner.plans(spark, out).dtypes == recommend.planner_state(spark.createDataFrame(first, LOG)).dtypes
+
+
+def test_a_micro_batch_of_a_table_has_many_files(spark, tmp_path):
+    seen = {}
+
+    def note(batch, n):
+        rows = batch.select("seq", F.input_file_name().alias("file")).collect()
+        seen[n] = ({r["seq"] for r in rows}, {r["file"] for r in rows})
+
+    rows = spark.range(2_000).select(F.pmod("id", F.lit(7)).alias("plan_id"), F.col("id").alias("seq"))
+    stream = queries._read_as_stream(rows, "dealt", 3)
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(note).start().awaitTermination()
+    assert len(seen) == 3 and set.union(*(s for s, _ in seen.values())) == set(range(2_000))
+    # Four shuffle partitions in tests.
+    assert all(len(files) == 2 and max(s) - min(s) > 1_000 for s, files in seen.values())
